@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, linededup, simhash, wumanber
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op3_simhash": simhash.op3_simhash,
+    "op5_decontamination": wumanber.op5_decontamination,
+    "op9_line_dedup": linededup.op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": wumanber.OP5_SQL,
+    "op9_line_dedup": linededup.OP9_SQL,
+}
