@@ -100,6 +100,11 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTE,
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     ends = np.flatnonzero(last) + 1
+    return starts, ends, run_hashes(data, starts, ends, fold)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """A polynomial hash of the bytes of each [start, end), which must be sorted and not overlap; empty runs hash alike."""
     hashes = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
@@ -113,9 +118,15 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTE,
         s, e = starts[a:b] - lo, ends[a:b] - lo
         hashes[a:b] = (sums[e] - sums[s]) * inverse[s]
         a = b
-    return starts, ends, mix64(hashes)
+    return mix64(hashes)
 
 
 def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The row of each word start."""
     return np.searchsorted(offsets, starts, side="right") - 1
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first[0], first[0] + 1, ... (count[0] of them), first[1], ... in one array."""
+    total = np.cumsum(count)
+    return np.repeat(first - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)

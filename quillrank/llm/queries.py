@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, simhash, wumanber
+from . import langid, linededup, pieces, simhash, warc, wumanber
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_simhash": simhash.op3_simhash,
     "op5_decontamination": wumanber.op5_decontamination,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": wumanber.OP5_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
