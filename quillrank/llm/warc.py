@@ -150,10 +150,10 @@ def index(files: DataFrame) -> DataFrame:
                     digest = fields.get("warc-payload-digest")
                     rows.append((uri, at, size, fields.get("warc-type"), fields.get("warc-target-uri"), digest, fields.get("warc-record-id", "").strip("<>")))
                     if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
+                        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=_INDEX_SCHEMA)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows))})
+                    yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows))}, schema=_INDEX_SCHEMA)
 
     names = files.select("file").distinct()
     return cut(names.repartition("file").mapInArrow(run, INDEX), "warc-index")
@@ -217,7 +217,8 @@ def read_records(selected: DataFrame, gap: int = GAP, most: int = MOST) -> DataF
     return selected.select(*columns).repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
-_SCHEMA = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]]) for x in RECORDS.split(", ")])
+_KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+_SCHEMA, _INDEX_SCHEMA = (pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in form.split(", ")]) for form in (RECORDS, INDEX))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
