@@ -8,7 +8,8 @@ It grows with every page of its host:
   to all its pages, where a single block is a group of one, so that groups form groups in their turn.
 * Optional groups: the folded pages are aligned with the wrapper one by one. Whatever stands in one of the two only becomes an
   optional group; one that is met in part is divided.
-* Slots: a text that is the same in every page that has it belongs to the template and is left out; the others are extracted.
+* Slots: a text that is the same in every page that has it, and in two different pages at least, belongs to the template and is left
+  out; the others are extracted.
 
 Every page of a host is accepted by its wrapper: groups are found first, then each page is folded by the final groups and aligned.
 
@@ -24,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -404,15 +406,17 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts: dict[tuple[str, str], tuple[str, str]] = {}
+        seen: dict[tuple[str, str], tuple[str, str, str, str]] = {}
         for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
             tags, held = tokens(page)
+            one = xxhash.xxh64_hexdigest(page)
             for slot, i in _wrapper(wrapper).slots(tags) or []:
-                low, high = texts.get((host, slot), (held[i], held[i]))
-                texts[host, slot] = min(low, held[i]), max(high, held[i])
-        # only whether two texts differ matters, so that long ones needn't travel
-        rows = sorted((h, s, *(x if low == high or len(x) < 64 else x[:64] + "\0" + str(k) for k, x in enumerate((low, high)))) for (h, s), (low, high) in texts.items())
-        yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("host", "slot", "low", "high"))})
+                x = held[i]
+                low, high, first, last = seen.get((host, slot), (x, x, one, one))
+                seen[host, slot] = min(low, x), max(high, x), min(first, one), max(last, one)
+        # only whether two texts differ matters, so long ones needn't travel
+        rows = sorted((h, s, *(x if low == high or len(x) < 64 else x[:64] + "\0" + str(k) for k, x in enumerate((low, high))), *pages) for (h, s), (low, high, *pages) in seen.items())
+        yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("host", "slot", "low", "high", "first", "last"))})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -426,8 +430,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         lambda t: pa.table({"host": t.column("host")[:1], "wrapper": [infer(json.loads(t.column("groups")[0].as_py()), [json.loads(x) for x in t.column("stream").to_pylist()])]}), "host string, wrapper string"
     )
     inferred = cut(inferred, "page-wrappers")
-    slots = pages.join(inferred, "host").select("host", "html", "wrapper").mapInArrow(_slot_batches, "host string, slot string, low string, high string")
-    fixed = slots.groupBy("host", "slot").agg((F.min("low") == F.max("high")).alias("same"))
+    slots = pages.join(inferred, "host").select("host", "html", "wrapper").mapInArrow(_slot_batches, "host string, slot string, low string, high string, first string, last string")
+    fixed = slots.groupBy("host", "slot").agg(((F.min("low") == F.max("high")) & (F.min("first") != F.max("last"))).alias("same"))
     fixed = fixed.groupBy("host").agg(F.bool_and("same").alias("all"), F.sort_array(F.collect_list(F.when(F.col("same"), F.col("slot")))).alias("fixed"))
     # where no text differs, nothing tells template from content
     fixed = fixed.select("host", F.to_json(F.when(F.col("all"), F.array().cast("array<string>")).otherwise(F.col("fixed"))).alias("fixed"))
