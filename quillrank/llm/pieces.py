@@ -29,9 +29,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from ._bytes import mix64, run_hashes, slices, spread, text_buffers
 from ._shared import fresh, table
 
-_SLICE = 16 << 20
+_SLICE = 4 << 20
 #: Units that a worker remembers; when there are more it forgets all and begins anew.
-_REMEMBER = 800_000
+_REMEMBER = 400_000
 SPACE = "▁"
 
 
@@ -366,11 +366,13 @@ def encode(docs: DataFrame, model_file: str | None = None, ids: str = "ids", n_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared)
-        for batch in batches:
-            column = batch.column(at)
-            out, number, same = _encoded(enc, column)
-            null = column.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out, pa.array(number), pa.array(same, mask=null)], [*batch.schema.names, *names])
+        for whole in batches:
+            for a, b in slices(text_buffers(whole.column(at))[1], _SLICE):
+                batch = whole.slice(a, b - a)
+                column = batch.column(at)
+                out, number, same = _encoded(enc, column)
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*batch.columns, out, pa.array(number), pa.array(same, mask=null)], [*batch.schema.names, *names])
 
     schema = StructType(list(docs.schema.fields))  # add() changes its list
     for name, kind in zip(names, (ArrayType(IntegerType()), LongType(), BooleanType())):
