@@ -28,8 +28,8 @@ N_WORDS = 13
 PASS_BYTES = 64 << 20
 _BLOCK = 8
 _TABLE_BITS = 20
-_LANE = 4096
-_SLICE = 8 << 20
+_LANE = 1024
+_SLICE = 2 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
