@@ -4,8 +4,8 @@ A page is a stream of tags, each with the text that follows it (maybe none). A w
 repeated groups ``(...)+`` that may hold one another, never an alternative; the text after a tag is a slot.
 It grows with every page of its host:
 
-* Repeated groups: equal blocks that follow each other in a page make a group, inner ones first. A host's groups are applied
-  to all its pages, where a single block is a group of one, so that groups form groups in their turn.
+* Repeated groups: equal blocks of any length that follow each other in a page make a group, inner ones first. A host's groups are
+  applied to all its pages, where a single block is a group of one, so that groups form groups in their turn.
 * Optional groups: the folded pages are aligned with the wrapper one by one. Whatever stands in one of the two only becomes an
   optional group; one that is met in part is divided.
 * Slots: a text that is the same in every page that has it, and in two different pages at least, belongs to the template and is left
@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, table
 
-#: Blocks of up to so many symbols are tried as repeated groups.
+#: Blocks of up to so many symbols are found by a regular expression, longer ones by ``long_blocks``.
 MAX_BLOCK = 24
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?(/?[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>", re.S | re.I)
 _TANDEM = re.compile(r"(.{1,%d}?)\1+" % MAX_BLOCK, re.S)
@@ -121,7 +122,7 @@ class Grammar:
         """Makes groups of equal blocks that follow each other, inner ones first, until there are none."""
         s = self.fold(s)
         while True:
-            blocks = {_unit(m.group(1)) for m in _TANDEM.finditer(s)}
+            blocks = {_unit(m.group(1)) for m in _TANDEM.finditer(s)} or set(long_blocks(s, MAX_BLOCK + 1))
             if not blocks:
                 return s
             for body in sorted(blocks, key=lambda b: (len(b), b)):
@@ -164,6 +165,57 @@ def _unit(s: str) -> str:
     return s[:n]
 
 
+def long_blocks(s: str, least: int) -> list[str]:
+    """Blocks of at least ``least`` symbols that stand in ``s`` twice or more in a row. Of stretches that overlap, that with the shorter block counts.
+
+    A stretch of period p and length 2p or more holds two places that are p apart and multiples of p, around which ``s`` agrees with itself
+    over p symbols. There are n log n such pairs; their agreement is looked up in ranks of all substrings of 1, 2, 4, ... symbols.
+    """
+    n = len(s)
+    if n < 2 * least:
+        return []
+    ranks = [np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)]
+    while len(ranks[-1]) > (w := 1 << (len(ranks) - 1)):
+        low, high = ranks[-1][:-w], ranks[-1][w:]
+        held, rank = np.unique(low * (n + 1) + high, return_inverse=True)
+        if len(held) == len(rank):  # no substring so long stands twice
+            break
+        ranks.append(rank)
+    if 1 << len(ranks) <= least:
+        return []
+    runs: set[tuple[int, int, int]] = set()
+    p = least
+    while p <= n // 2:
+        # some million pairs at a time
+        to = p + 1
+        pairs = n // p
+        while to <= n // 2 and pairs < 1 << 20:
+            pairs += n // to
+            to += 1
+        periods = np.arange(p, to)
+        many = (n - 1) // periods  # places i = 0, p, 2p, ... with i + p < n
+        period = np.repeat(periods, many)
+        i = (np.arange(len(period)) - np.repeat(np.cumsum(many) - many, many)) * period
+        j = i + period
+        after, before = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            w, r = 1 << k, ranks[k]
+            at = np.minimum(j + after, len(r) - 1)
+            after += w * ((j + after < len(r)) & (r[np.minimum(i + after, len(r) - 1)] == r[at]))
+            at = np.maximum(i - before - w, 0)
+            before += w * ((i - before >= w) & (r[at] == r[np.minimum(at + period, len(r) - 1)]))
+        hit = after + before >= period
+        runs.update(zip(period[hit].tolist(), (i - before)[hit].tolist(), (j + after)[hit].tolist()))
+        p = to
+    used = np.zeros(n, bool)
+    out = []
+    for p, a, b in sorted(runs):
+        if not used[a:b].any():
+            used[a:b] = True
+            out.append(s[a : a + p])
+    return out
+
+
 #: A wrapper on its way: symbols, and for each the number of its optional group, 0 for none.
 Aligned = tuple[str, list[int]]
 

@@ -246,6 +246,44 @@ def test_wrappers(spark):
     assert wrappers.extract(frame(spark, rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def card(k, price, tail="", depth=15):
+    """An item of 30 different tags and more: name, label, price, label of a link."""
+    return f"<li><h3>{k}</h3><em>Price</em><i>{price}</i>" + "".join(f"<t{d}>" for d in range(depth)) + "<a>Read more</a>" + "".join(f"</t{d}>" for d in reversed(range(depth))) + tail + "</li>"
+
+
+def test_long_items_are_repeated_groups(spark):
+    counts = [1, 2, 3, 7, 1]
+    rows = [(i, f"http://a.example/{i}", f"<title>T{i}</title><h1>Shop</h1><ul>" + "".join(card(f"n{i}.{k}", f"{i}{k}0") for k in range(n)) + "</ul><p>End</p>") for i, n in enumerate(counts)]
+    # items of items, the outer ones with a label and inner ones in other numbers
+    rows += [(10 + i, f"http://b.example/{i}", "".join(f"<section><h2>s{i}.{j}</h2><b>Section</b>" + "".join(f"<u{d}></u{d}>" for d in range(15)) + "".join(card(f"m{i}.{j}.{k}", f"{i}{j}{k}") for k in range(1 + (i + j) % 3)) + "</section>" for j in range(1 + i % 3))) for i in range(4)]
+    got = {r["page_id"]: r for r in wrappers.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i, n in enumerate(counts):
+        assert (got[i]["title"], got[i]["links"], got[i]["n_slots"]) == (f"T{i}", [], 2 * n + 1)
+        assert got[i]["text"].split("\n") == [x for k in range(n) for x in (f"n{i}.{k}", f"{i}{k}0")]
+    for i in range(4):
+        assert got[10 + i]["text"].split("\n") == [x for j in range(1 + i % 3) for x in [f"s{i}.{j}"] + [y for k in range(1 + (i + j) % 3) for y in (f"m{i}.{j}.{k}", f"{i}{j}{k}")]]
+        assert got[10 + i]["links"] == []
+
+
+def test_long_blocks_are_all_tandems():
+    rnd = random.Random(13)
+    for _ in range(300):
+        least = rnd.randrange(1, 6)
+        s = "".join("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 12))) * rnd.choice([1, 1, 2, 3]) for _ in range(rnd.randrange(1, 8)))
+        runs = []
+        for p in range(least, len(s) // 2 + 1):
+            same = [i + p < len(s) and s[i] == s[i + p] for i in range(len(s))]
+            runs += [(p, m.start(), m.end() + p) for m in re.finditer("1{%d,}" % p, "".join("01"[x] for x in same))]
+        held, out = set(), []
+        for p, a, b in sorted(runs):
+            if not held & set(range(a, b)):
+                held |= set(range(a, b))
+                out.append(s[a : a + p])
+        assert wrappers.long_blocks(s, least) == out
+    once = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    assert wrappers.long_blocks(once, 25) == [] and wrappers.long_blocks(once + once, 25) == [once] and wrappers.long_blocks("ab" + once * 3, 25) == [once]
+
+
 def as_regex(w):
     """The wrapper as Python's regular expression over its tags, one letter each."""
     tag = {}
