@@ -8,8 +8,9 @@ It grows with every page of its host:
   applied to all its pages, where a single block is a group of one, so that groups form groups in their turn.
 * Optional groups: the folded pages are aligned with the wrapper one by one. Whatever stands in one of the two only becomes an
   optional group; one that is met in part is divided.
-* Slots: a text that is the same in every page that has it, and in two different pages at least, belongs to the template and is left
-  out; the others are extracted.
+* Slots: a text that is the same in every page that has it, and in two pages of different content at least, belongs to the template
+  and is left out; the others are extracted. Content is what a page holds beside texts that two pages of different text have in common,
+  so copies of one page (under another script, or with a box of the template in one of them) don't make its text template.
 
 Every page of a host is accepted by its wrapper: groups are found first, then each page is folded by the final groups and aligned.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -456,12 +457,16 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"host": [r[0] for r in held], "stream": [r[1] for r in held]})
 
 
+def _digest(texts: Iterable[str]) -> str:
+    return xxhash.xxh64_hexdigest("\0".join(x for x in texts if x))
+
+
 def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple[str, str], tuple[str, str, str, str]] = {}
         for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
             tags, held = tokens(page)
-            one = xxhash.xxh64_hexdigest(page)
+            one = _digest(held)
             for slot, i in _wrapper(wrapper).slots(tags) or []:
                 x = held[i]
                 low, high, first, last = seen.get((host, slot), (x, x, one, one))
@@ -471,6 +476,25 @@ def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("host", "slot", "low", "high", "first", "last"))})
 
 
+def _content_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: dict[tuple[str, str], tuple[str, str]] = {}
+        fixed_sets: dict[str, set[str]] = {}
+        for host, page, wrapper, fixed in zip(*(c.to_pylist() for c in batch.columns)):
+            if fixed not in fixed_sets:
+                fixed_sets[fixed] = set(json.loads(fixed))
+            skip = fixed_sets[fixed]
+            tags, held = tokens(page)
+            slots = _wrapper(wrapper).slots(tags) or []
+            one = _digest(held[i] for slot, i in slots if slot not in skip)
+            for slot, i in slots:
+                if held[i] and slot in skip:
+                    first, last = seen.get((host, slot), (one, one))
+                    seen[host, slot] = min(first, one), max(last, one)
+        rows = sorted((*k, *v) for k, v in seen.items())
+        yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.string()) for i, k in enumerate(("host", "slot", "first", "last"))})
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, fixed): the wrapper of every host of ``pages`` (host, html) and a JSON list of its slots that hold template text."""
     groups = pages.mapInArrow(_group_batches, "host string, form string").distinct().groupBy("host").applyInArrow(
@@ -487,15 +511,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
     fixed = fixed.groupBy("host").agg(F.bool_and("same").alias("all"), F.sort_array(F.collect_list(F.when(F.col("same"), F.col("slot")))).alias("fixed"))
     # where no text differs, nothing tells template from content
     fixed = fixed.select("host", F.to_json(F.when(F.col("all"), F.array().cast("array<string>")).otherwise(F.col("fixed"))).alias("fixed"))
-    return inferred.join(fixed, "host")
+    likely = cut(inferred.join(fixed, "host"), "page-templates")
+    contents = pages.join(likely.filter("fixed != '[]'"), "host").select("host", "html", "wrapper", "fixed").mapInArrow(_content_batches, "host string, slot string, first string, last string")
+    fixed = contents.groupBy("host", "slot").agg((F.min("first") != F.max("last")).alias("differ")).filter("differ").groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("slot"))).alias("fixed"))
+    return likely.drop("fixed").join(fixed, "host", "left").select("host", "wrapper", F.coalesce("fixed", F.lit("[]")).alias("fixed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, host, title, text, links, n_slots): what the slots of its host's wrapper hold, for every row of ``pages``.
 
     ``pages`` needs page_id, url and html; other columns are ignored, whatever their names. ``title`` is the title's text, ``links`` the texts
-    of links, ``text`` the other texts by line, each where the template doesn't hold it. A host with one page (or with equal pages
-    only) shows no difference between template and content, so all its texts are content. A page with a null or
+    of links, ``text`` the other texts by line, each where the template doesn't hold it. A host with one page (or with pages of
+    equal text only) shows no difference between template and content, so all its texts are content. Copies of one article whose menus or
+    ads have different texts look like two pages of a template: what only such copies reach is lost from all of them. A page with a null or
     malformed url belongs to the host "". A null html gives a null title, text and links and 0 slots; an empty one empty ones. Null ids pass through,
     repeated rows are given as often. Pages cut off anywhere are read as far as they go.
     """

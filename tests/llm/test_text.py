@@ -284,6 +284,29 @@ def test_long_blocks_are_all_tandems():
     assert wrappers.long_blocks(once, 25) == [] and wrappers.long_blocks(once + once, 25) == [once] and wrappers.long_blocks("ab" + once * 3, 25) == [once]
 
 
+def test_copies_dont_make_template(spark):
+    def of(title, script="", box="", table="the article"):
+        return f"<title>{title}</title><h1>Site</h1>{box}" + (f"<table>{table}</table>" if table else "") + f"<p>End</p><script>{script}</script>"
+
+    box = "<aside>Subscribe</aside>"
+    pages = {
+        # copies under another script, and another page that hasn't their group
+        "a": [of("A", "1"), of("A", "2"), of("B", table=""), of("C", table="")],
+        # a box of the template in one copy
+        "b": [of("A", box=box), of("A"), of("B", box=box, table=""), of("C", table="")],
+        # only copies
+        "c": [of("A", "1"), of("A", "2")],
+        # copies with different ads can't be told from two pages of a template, see ``extract``
+        "d": [of("A", box="<aside>one</aside>"), of("A", box="<aside>two</aside>")],
+    }
+    rows = [(100 * k + i, f"http://{host}.example/{i}", x) for k, (host, held) in enumerate(pages.items()) for i, x in enumerate(held)]
+    got = {r["page_id"]: (r["title"], r["text"]) for r in wrappers.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for k in (0, 100):
+        assert [got[k + i] for i in range(4)] == [("A", "the article"), ("A", "the article"), ("B", ""), ("C", "")]
+    assert got[200] == got[201] == ("A", "Site\nthe article\nEnd")
+    assert got[300] == ("", "one") and got[301] == ("", "two")
+
+
 def as_regex(w):
     """The wrapper as Python's regular expression over its tags, one letter each."""
     tag = {}
