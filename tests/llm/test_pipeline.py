@@ -59,6 +59,34 @@ def test_op1_is_brute_force(spark):
             assert got[i] == judged_brute(model, labelled, t)
 
 
+def test_op1_of_several_blocks_is_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = langid.labelled_text(docs)
+    model = langid.train(labelled)
+    whole = "".join(" ".join(r["text"] for r in docs.orderBy("doc_id").limit(60).collect()).split("\n")).lower().encode()
+    whole = langid.normalise(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
+    sizes = [langid.BLOCK - 1, langid.BLOCK, langid.BLOCK + 1, 2 * langid.BLOCK, 2 * langid.BLOCK + 1, 3 * langid.BLOCK + 100, 50, 0, 700]
+    texts = [whole[a : a + n] for a, n in zip(range(0, 9000, 1000), sizes)]
+    assert [len(x) for x in texts] == sizes
+    offsets = np.cumsum([0, *sizes])
+    counts = langid.phrases(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+
+    def brute(text, held):
+        """As ``phrases_brute``, with the length of each match by halving."""
+        n = at = 0
+        while at < len(text):
+            low, high = 0, len(text) - at
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if text[at : at + mid] in held else (low, mid - 1)
+            at += max(1, low)
+            n += 1
+        return n
+
+    assert [brute(x, labelled["en"]) for x in texts[-3:]] == [phrases_brute(x, labelled["en"]) for x in texts[-3:]]
+    assert counts.tolist() == [[sum(brute(x[a : a + langid.BLOCK], labelled[k]) for a in range(0, len(x), langid.BLOCK)) for k in model.languages] for x in texts]
+
+
 def test_op2_is_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
