@@ -34,6 +34,8 @@ MAX_BITS = 5.0
 SLACK_BITS = 64.0
 BLOCK = 4096
 _SLICE = 8 << 20
+#: Addresses, which are numbers of cells times 4, of larger tables don't fit in 32 bits.
+_SMALL_CELLS = 1 << 29
 _SPACE = 32
 
 
@@ -123,8 +125,9 @@ def train(texts: dict[str, bytes]) -> Model:
         tables.append(states.ravel())
         roots.append(base)
         base += states.size
-    cells = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
-    return Model(languages, symbol, cells, np.array(roots, np.int32), np.array([math.log2(max(2, len(texts[k]))) for k in languages]))
+    kind = np.int32 if base <= _SMALL_CELLS else np.int64
+    cells = np.concatenate(tables).astype(kind, copy=False) if tables else np.zeros(0, kind)
+    return Model(languages, symbol, cells, np.array(roots, kind), np.array([math.log2(max(2, len(texts[k]))) for k in languages]))
 
 
 def phrases(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -87,6 +87,16 @@ def test_op1_of_several_blocks_is_brute_force(spark):
     assert counts.tolist() == [[sum(brute(x[a : a + langid.BLOCK], labelled[k]) for a in range(0, len(x), langid.BLOCK)) for k in model.languages] for x in texts]
 
 
+def test_op1_tables_of_many_cells(spark, monkeypatch):
+    texts = {"a": b"one two three ", "b": b"eins zwei drei "}
+    data = np.frombuffer(b"one zwei three drei x", np.uint8)
+    small = langid.train(texts)
+    monkeypatch.setattr(langid, "_SMALL_CELLS", 100)
+    large = langid.train(texts)
+    assert (small.cells.dtype, large.cells.dtype, large.roots.dtype) == (np.int32, np.int64, np.int64)
+    assert langid.phrases(small, data, np.array([0, 9, 21])).tolist() == langid.phrases(large, data, np.array([0, 9, 21])).tolist()
+
+
 def test_op2_is_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
