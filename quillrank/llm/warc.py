@@ -16,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,11 +37,14 @@ def _digest(payload: bytes) -> str:
 
 
 def record_bytes(record_id: str, url: str | None, payload: bytes) -> bytes:
-    """A response record with its payload as an HTTP message. White space in a URL is percent-encoded."""
+    """A response record with its payload as an HTTP message. White space in a URL is percent-encoded; a field of our own then has the URL as it was."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c in "\r\n\t " else c for c in url))
+        target = "".join(f"%{ord(c):02X}" if c in "\r\n\t " else c for c in url)
+        head.append("WARC-Target-URI: " + target)
+        if target.strip() != url:
+            head.append("X-Original-URL: " + quote(url, safe=""))
     head += [f"WARC-Payload-Digest: {_digest(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
@@ -148,7 +152,8 @@ def index(files: DataFrame) -> DataFrame:
                 for at, size, raw in _scan(fs, path):
                     fields, begin = _header(raw)
                     digest = fields.get("warc-payload-digest")
-                    rows.append((uri, at, size, fields.get("warc-type"), fields.get("warc-target-uri"), digest, fields.get("warc-record-id", "").strip("<>")))
+                    url = unquote(fields["x-original-url"]) if "x-original-url" in fields else fields.get("warc-target-uri")
+                    rows.append((uri, at, size, fields.get("warc-type"), url, digest, fields.get("warc-record-id", "").strip("<>")))
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=_INDEX_SCHEMA)
                         rows = []
@@ -222,12 +227,18 @@ _SCHEMA, _INDEX_SCHEMA = (pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` by way of WARC files: written, indexed, and every HTML response read back through the index."""
+    """``pages`` by way of WARC files: written, indexed, and every HTML response read back through the index.
+
+    Pages with a null html, which have no record, are given as they are.
+    """
+    pages = table(spark, sf_dir, "pages")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    files = cut(write_files(table(spark, sf_dir, "pages"), folder), "warc-files")
+    files = cut(write_files(pages, folder), "warc-files")
     found = index(files)
     records = read_records(found.filter("type = 'response'"))
-    return records.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), "digest_ok")
+    read = records.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), "digest_ok")
+    bare = pages.filter("html IS NULL").select("page_id", "url", "html", F.octet_length("html").cast("long").alias("n_bytes"), F.sha1("html").alias("sha1"), F.lit(True).alias("digest_ok"))
+    return read.unionByName(bare)
 
 
 OP10_SQL = "SELECT page_id, url, html, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha1(html) AS sha1, true AS digest_ok FROM pages"

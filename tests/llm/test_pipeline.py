@@ -32,6 +32,17 @@ def test_query_matches_sql(spark, name):
     assert sorted(repr(tidy([r[c] for c in columns])) for r in df.collect()) == sorted(repr(tidy(r)) for r in found.fetchall())
 
 
+def test_op10_keeps_null_pages_and_blanks_in_urls(spark, tmp_path):
+    rows = [(1, "http://a/b c\td", "<p>x</p>"), (2, "http://a/%20 ", "é"), (3, "http://a/ b", None), (4, None, None), (5, None, ""), (6, "\u00a0http://a/ü%2", "y"), (7, "http://a/%41", "z"), (None, "http://a\r\nX: y", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op10_warc"])
+    columns = [d[0] for d in found.description]
+    got = queries.QUERIES["op10_warc"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, found.fetchall())) and len(got) == len(rows)
+
+
 def judged_brute(model, labelled, text):
     """(best language, accepted) of one text."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
