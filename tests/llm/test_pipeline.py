@@ -1,6 +1,7 @@
 """The registered queries and the pipeline over whole tables, against SQL or brute force."""
 
 import random
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -9,9 +10,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillrank.llm import langid, linededup, pieces, queries, wumanber
+from quillrank.llm import langid, linededup, pieces, queries, wrappers, wumanber
 from test_dedup import lines_brute, simhash_brute
-from test_text import contamination_brute, phrases_brute
+from test_text import card, contamination_brute, phrases_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,6 +128,51 @@ def test_op8_gives_every_page(spark):
     assert got.count() == pages.count() and got.filter("text = '' OR text IS NULL").count() == 0
 
 
+def html_plain(pages):
+    """{page_id: (title, text, links, n_slots)} of (page_id, url, html): groups, alignment and acceptance of ``wrappers`` without Spark, and template by counting pages."""
+    hosts = {}
+    for i, url, page in pages:
+        hosts.setdefault(urlsplit(url or "").hostname or "", []).append((i, *wrappers.tokens(page)))
+    out = {}
+    for held in hosts.values():
+        g = wrappers.Grammar()
+        for _, tags, _ in held:
+            g.discover("".join(map(g.tag, tags)))
+        groups = wrappers.merge_groups(g.forms())
+        g = wrappers.Grammar(groups)
+        w = wrappers.Wrapper(wrappers.infer(groups, [[g.form[c] for c in g.fold("".join(map(g.tag, tags)))] for _, tags, _ in held]))
+        parsed = [(i, [(slot, tags[k], texts[k]) for slot, k in w.slots(tags)]) for i, tags, texts in held]
+        assert all(len(x) == len(tags) for (_, x), (_, tags, _) in zip(parsed, held))
+
+        def template(slots, content):
+            kept = set()
+            for slot in slots:
+                having = [x for _, x in parsed if any(s == slot for s, _, _ in x)]
+                if len({t for x in having for s, _, t in x if s == slot}) == 1 and len(set(map(content, having))) > 1:
+                    kept.add(slot)
+            return kept
+
+        every = {s for _, x in parsed for s, _, _ in x}
+        likely = template(every, lambda x: tuple(t for _, _, t in x if t))
+        fixed = set() if likely == every else template(likely, lambda x: tuple(t for s, _, t in x if t and s not in likely))
+        for i, x in parsed:
+            got = [(tag, t) for s, tag, t in x if t and s not in fixed]
+            out[i] = " ".join(t for tag, t in got if tag == "title"), "\n".join(t for tag, t in got if tag not in ("title", "a")), [t for tag, t in got if tag == "a"], len(got)
+    return out
+
+
+def test_op8_is_plain_python(spark):
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    box = "<aside>Subscribe</aside>"
+    made = [(i, f"http://a.example/{i}", f"<title>T{i}</title><h1>Shop</h1>{box if i % 2 else ''}<ul>" + "".join(card(f"n{i}.{k}", f"{i}{k}0") for k in range(1 + i % 4)) + f"</ul>{'<h2>Note</h2>' if i % 3 else ''}<p>End</p>") for i in range(8)]
+    made += [(20 + i, "http://a.example/c", made[i % 2][2] + "<table>of copies</table><script>%d</script>" % i) for i in range(4)]
+    for rows in (real, made):
+        got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+        assert {r["page_id"]: (r["title"], r["text"], list(r["links"]), r["n_slots"]) for r in got.collect()} == html_plain(rows)
+    got = queries.QUERIES["op8_html"](spark, SF)
+    assert {r["page_id"]: (r["title"], r["text"], list(r["links"]), r["n_slots"]) for r in got.collect()} == html_plain(real)
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """A folder with documents of every kind that the stages look for, and a benchmark."""
