@@ -159,12 +159,32 @@ def test_contamination_edges(spark):
 # top-k
 
 
-def nearest_brute(vectors, k):
+def nearest_brute(vectors, k, asked=None):
     out = {}
-    for a, x in vectors.items():
-        d = sorted((round(math.dist(x, y), 6), b) for b, y in vectors.items() if b != a and len(x) == len(y))
-        out[a] = [(b, s) for s, b in d[:k]]
-    return {a: v for a, v in out.items() if v}
+    for i, v in vectors.items():
+        if asked is None or i in asked:
+            found = []
+            for j, w in vectors.items():
+                if j != i:
+                    total = 0.0
+                    for x, y in zip(v, w):
+                        total += (x - y) * (x - y)
+                    found.append((math.sqrt(total), j))
+            out[i] = [(j, d) for d, j in sorted(found)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1e-8, 1.0, 1e8])
+def test_top_k_at_any_scale(spark, scale):
+    rng = np.random.default_rng(3)
+    vectors = {i: (rng.normal(size=8) * scale).tolist() for i in range(200)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i,) for i in (0, 20, 40, 40, 777)], "vec_id long")
+    for block in (30, 40_000):
+        got = {}
+        for r in topk.top_k(df, 5, queries, 16, block, 8).orderBy("vec_id", "rank").collect():
+            got.setdefault(r["vec_id"], []).append((r["neighbour_id"], r["distance"]))
+        assert got == nearest_brute(vectors, 5, {0, 20, 40})
 
 
 @pytest.mark.parametrize(("n", "dim", "k", "pivots", "block", "ring"), [(300, 6, 5, 8, 60, 16), (300, 3, 4, 128, 1000, 1024), (120, 2, 200, 4, 50, 8), (40, 1, 3, 1, 7, 2)])
@@ -174,7 +194,7 @@ def test_top_k_is_brute_force(spark, n, dim, k, pivots, block, ring):
     vectors = {i: v.tolist() for i, v in enumerate(x)}
     df = frame(spark, list(vectors.items()), "vec_id long, embedding array<double>")
     got = {}
-    for r in topk.top_k(df, k, pivots, block, ring).orderBy("vec_id", "rank").collect():
+    for r in topk.top_k(df, k, None, pivots, block, ring).orderBy("vec_id", "rank").collect():
         got.setdefault(r["vec_id"], []).append((r["neighbour_id"], pytest.approx(r["distance"], abs=2e-6)))
     assert got == nearest_brute(vectors, k)
 
