@@ -3,14 +3,17 @@
 Per language a suffix automaton is built of labelled text. A document is parsed greedily against each automaton:
 from where the last phrase ended, the longest match with any substring of the labelled text is the next phrase.
 The fewer phrases, the more alike; ``phrases * log2(length of the labelled text) / length of the document`` estimates the
-cross entropy in bits a byte (Ziv and Merhav), and the language with the least wins.
+cross entropy in bits a byte (Ziv and Merhav), and the language with the least wins. A text is accepted when its complete phrases, all but
+the last, which ends where the text does, cost at most ``MAX_BITS`` a byte, whatever its length.
 
 The automata are turned into tables of bytes: for each state and byte the next state and the number of phrases that
-end there. All documents of a record batch go through the tables side by side, a byte per step, in numpy. Texts are parsed in
-blocks of ``BLOCK`` bytes (a phrase ends with its block), so one very long text doesn't hold up the rest.
+end there. All documents of a record batch go through the tables side by side, a byte per step, in numpy. Long texts are parsed in
+blocks at the same time, each as if a phrase began with it. Then the parse that arrives from the block before is carried on
+beside that one until both are in the same state, from where on they are the same: the counts are those of one parse of the whole text.
 
 Labelled text is a sample bounded by ``SAMPLE_BYTES`` for each language: the documents that come first by hash. The tables
-of all languages go to the workers in one broadcast variable, bounded by that parameter and not by the corpus.
+of all languages go to the workers in one broadcast variable, bounded by that parameter and not by the corpus. At most ``MAX_LANGUAGES``
+values of ``lang`` are taken for languages, those with most text.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from ._bytes import LOWER_BYTE, slices, text_buffers
 from ._shared import fresh, table
 
 SAMPLE_BYTES = 24_000
-#: Above so many bits a byte (and ``SLACK_BITS`` more for the text) no language explains a text: prose of a known language needs
-#: under 3, text that mixes languages or holds keys and numbers up to 5, and bytes that no labelled text has 14.
-MAX_BITS = 5.0
-SLACK_BITS = 64.0
+#: Dirty labels beyond so many (each by a typing error, say) name no language.
+MAX_LANGUAGES = 200
+#: Above so many bits a byte no language explains a text: prose of a known language needs under 3, text that mixes languages or holds
+#: keys and numbers up to 6, and bytes that no labelled text has 14.
+MAX_BITS = 6.0
+#: Texts are parsed in blocks of so many bytes side by side; the counts don't depend on it.
 BLOCK = 4096
 _SLICE = 8 << 20
 #: Addresses, which are numbers of cells times 4, of larger tables don't fit in 32 bits.
@@ -139,34 +144,72 @@ def phrases(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return counts
     blocks = -(-size // BLOCK)
     row = np.repeat(np.arange(n), blocks)
-    at = offsets[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = offsets[row] + BLOCK * number
     length = np.minimum(offsets[row + 1] - at, BLOCK)
-    order = np.argsort(-length, kind="stable")
-    row, at, length = row[order], at[order], length[order]
     symbols = model.symbol[data]
-    active = np.searchsorted(-length, -np.arange(int(length[0]) + 1), side="left")  # lanes longer than t
-    lanes = len(row)
+    total, end = _parse(model, symbols, at, length)
+    inner = np.flatnonzero(number > 0)
+    if len(inner):
+        _join(model, symbols, at, length, inner, total, end)
+    last = np.append(row[1:] != row[:-1], True)
+    total[:, last] += end[:, last] != model.roots[:, None]  # the phrase that ends with the text
+    np.add.at(counts, row, total.T)
+    return counts
+
+
+def _parse(model: Model, symbols: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, lanes) numbers of phrases that end in stretches of bytes, each parsed from the root, and states at their ends."""
+    order = np.argsort(-length, kind="stable")
+    here, sizes = at[order], length[order]
+    active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), side="left")  # lanes longer than t
+    k, lanes = len(model.roots), len(at)
+    all_total, all_state = np.zeros((k, lanes), np.int64), np.empty((k, lanes), model.cells.dtype)
     state = np.repeat(model.roots[:, None], lanes, axis=1)
     total = np.zeros((k, lanes), np.int32)
     cells, live = model.cells, lanes
-    here = at.copy()
-    for t in range(int(length[0])):
-        if active[t] != live:
-            live = int(active[t])
+    for t in range(int(sizes[0])):
+        live = int(active[t])
         if live < state.shape[1] // 2:
-            total_done, state_done = total, state
+            done = order[live : state.shape[1]]
+            all_total[:, done], all_state[:, done] = total[:, live:], state[:, live:]
             total, state = np.ascontiguousarray(total[:, :live]), np.ascontiguousarray(state[:, :live])
-            _settle(counts, model, row[live : total_done.shape[1]], total_done[:, live:], state_done[:, live:])
         step = cells[state[:, :live] + symbols[here[:live]]]
         total[:, :live] += step & 3
         np.right_shift(step, 2, out=state[:, :live])
         here[:live] += 1
-    _settle(counts, model, row[: total.shape[1]], total, state)
-    return counts
-
-
-def _settle(counts: np.ndarray, model: Model, row: np.ndarray, total: np.ndarray, state: np.ndarray) -> None:
-    np.add.at(counts, row, (total + (state != model.roots[:, None])).T)
+    done = order[: state.shape[1]]
+    all_total[:, done], all_state[:, done] = total, state
+    return all_total, all_state
+
+
+def _join(model: Model, symbols: np.ndarray, at: np.ndarray, length: np.ndarray, inner: np.ndarray, total: np.ndarray, end: np.ndarray) -> None:
+    """Corrects numbers of phrases and states at the ends of blocks (lanes ``inner``) by what arrives from the block before each."""
+    k = len(model.roots)
+    lang, lane = (x.ravel() for x in np.meshgrid(np.arange(k), inner, indexing="ij"))
+    own, own_end = total.copy(), end.copy()  # as parsed from the root
+    goes_on = np.zeros(total.shape[1] + 1, bool)
+    goes_on[inner] = True
+    while len(lane):
+        real, guess = end[lang, lane - 1].copy(), model.roots[lang].copy()
+        more = np.zeros(len(lane), np.int64)
+        here, stop = at[lane].copy(), at[lane] + length[lane]
+        live = np.flatnonzero(real != guess)
+        total[lang, lane] = own[lang, lane]
+        while len(live):
+            byte = symbols[here[live]]
+            a, b = model.cells[real[live] + byte], model.cells[guess[live] + byte]
+            more[live] += (a & 3).astype(np.int64) - (b & 3)
+            real[live], guess[live] = a >> 2, b >> 2
+            here[live] += 1
+            live = live[(real[live] != guess[live]) & (here[live] < stop[live])]
+        total[lang, lane] += more
+        # a block that ends in another state than it did: the next one begins otherwise
+        final = np.where(real == guess, own_end[lang, lane], real)
+        apart = np.flatnonzero(final != end[lang, lane])
+        end[lang[apart], lane[apart]] = final[apart]
+        apart = apart[goes_on[lane[apart] + 1]]
+        lang, lane = lang[apart], lane[apart] + 1
 
 
 def identify(model: Model, data: np.ndarray, offsets: np.ndarray, max_bits: float = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,20 +224,22 @@ def identify(model: Model, data: np.ndarray, offsets: np.ndarray, max_bits: floa
     best = np.where(size > 0, np.argmin(bits, axis=1), -1)
     pick = np.maximum(best, 0)
     rows = np.arange(n)
-    return best, np.where(size > 0, bits[rows, pick], np.nan), np.where(size > 0, counts[rows, pick], 0), (best >= 0) & (bits[rows, pick] * size <= max_bits * size + SLACK_BITS)
+    number = np.where(size > 0, counts[rows, pick], 0)
+    return best, np.where(size > 0, bits[rows, pick], np.nan), number, (best >= 0) & ((number - 1) * model.log_size[pick] <= max_bits * size)
 
 
 def labelled_text(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Up to ``sample_bytes`` of normalised text for each value of ``lang``: whole documents in the order of a hash, the last one cut."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"), F.xxhash64("doc_id").alias("h"))
-    numbers = {r["lang"]: (r["n"], r["size"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.col("size").desc(), "lang").limit(MAX_LANGUAGES)
+    numbers = [(r["lang"], r["n"], r["size"]) for r in sizes.collect()]
     if not numbers:
         return {}
     # the share of a language's documents that holds some four times the bytes wanted
-    share = F.lit(1.0)
-    for lang, (n, size) in numbers.items():
-        share = F.when(F.col("lang") == lang, F.lit(max(4 * sample_bytes / max(1, size), min(1.0, 40 / n)))).otherwise(share)
-    chosen = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text")).collect()
+    shares = {lang: max(4 * sample_bytes / max(1, size), min(1.0, 40 / n)) for lang, n, size in numbers}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    known = rows.withColumn("share", F.element_at(share, F.col("lang")))
+    chosen = known.filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["h"] % (1 << 30), r["h"], r["text"])):
         have = out.setdefault(r["lang"], b"")
@@ -209,8 +254,8 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, sample_bytes: i
     """(doc_id, lang, guess, phrases, bits, accepted) for every row of ``docs``, which needs doc_id, text and lang.
 
     ``labelled`` (default: ``docs``) gives the labelled text. A text that is null, empty or without letters has a null
-    guess and isn't accepted, nor is one whose best language needs over ``max_bits`` bits a byte and ``SLACK_BITS`` for the text. With no labelled text
-    at all nothing is accepted. Null ids pass through, repeated rows are judged alike, other columns are ignored.
+    guess and isn't accepted, nor is one whose complete phrases in its best language need over ``max_bits`` bits a byte. With no labelled text
+    at all (or an empty table) nothing is accepted. Long texts are parsed whole. Null ids pass through, repeated rows are judged alike, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_text(docs if labelled is None else labelled, sample_bytes)))
 
@@ -233,18 +278,27 @@ def _judge(model: Model, column: pa.Array, max_bits: float) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def accepted(docs: DataFrame, labelled: DataFrame | None = None, sample_bytes: int = SAMPLE_BYTES, max_bits: float = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` accepts, all columns as they were. No join or shuffle: each row is judged where it is."""
+def accepted(docs: DataFrame, labelled: DataFrame | None = None, sample_bytes: int = SAMPLE_BYTES, max_bits: float = MAX_BITS, relabel: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` accepts, all columns as they were; with ``relabel`` the guess stands in ``lang``.
+
+    No join or shuffle: each row is judged where it is. Nulls, empty texts, repeated rows and empty tables as in ``classify``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_text(docs if labelled is None else labelled, sample_bytes)))
     (small,) = fresh(docs.columns, "small_text")
+    at = docs.columns.index("lang") if relabel else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            good = _judge(shared.value, batch.column(batch.num_columns - 1), max_bits)[3]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(good))
+            best, _, _, good = _judge(model, batch.column(batch.num_columns - 1), max_bits)
+            columns = batch.columns[:-1]
+            if relabel and model.languages:
+                columns[at] = pa.array(model.languages, pa.string()).take(pa.array(np.maximum(best, 0), mask=best < 0))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(good))
 
     return docs.withColumn(small, F.lower("text")).mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``; see ``classify`` for nulls, empty and long texts, ties and repeated rows."""
     return classify(table(spark, sf_dir, "documents"))

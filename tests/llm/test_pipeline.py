@@ -44,6 +44,21 @@ def test_op10_keeps_null_pages_and_blanks_in_urls(spark, tmp_path):
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, found.fetchall())) and len(got) == len(rows)
 
 
+def phrases_fast(text, held):
+    """As ``phrases_brute``, with the length of each match by halving."""
+    n = at = 0
+    while at < len(text):
+        low, high = 0, min(16, len(text) - at)
+        while high < len(text) - at and text[at : at + high] in held:
+            low, high = high, min(2 * high, len(text) - at)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if text[at : at + mid] in held else (low, mid - 1)
+        at += max(1, low)
+        n += 1
+    return n
+
+
 def judged_brute(model, labelled, text):
     """(best language, accepted) of one text."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
@@ -53,10 +68,10 @@ def judged_brute(model, labelled, text):
         return None, False
     best = None
     for k, size in zip(model.languages, model.log_size):
-        n = sum(phrases_brute(clean[a : a + langid.BLOCK], labelled[k]) for a in range(0, len(clean), langid.BLOCK))
+        n = phrases_fast(clean, labelled[k])
         if best is None or n * size / len(clean) < best[0]:
-            best = n * size / len(clean), k
-    return best[1], best[0] * len(clean) <= langid.MAX_BITS * len(clean) + langid.SLACK_BITS
+            best = n * size / len(clean), k, (n - 1) * size
+    return best[1], best[2] <= langid.MAX_BITS * len(clean)
 
 
 def test_op1_is_brute_force(spark):
@@ -65,38 +80,31 @@ def test_op1_is_brute_force(spark):
     model = langid.train(labelled)
     got = {r["doc_id"]: (r["guess"], r["accepted"]) for r in queries.QUERIES["op1_language_id"](spark, SF).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert set(got) == set(texts)
-    for i, t in texts.items():
-        if len(t) < 1500:
-            assert got[i] == judged_brute(model, labelled, t)
+    assert set(got) == set(texts) and max(map(len, texts.values())) > 2 * langid.BLOCK
+    assert got == {i: judged_brute(model, labelled, t) for i, t in texts.items()}
 
 
-def test_op1_of_several_blocks_is_brute_force(spark):
+@pytest.mark.parametrize("block", [3, 7, 64, 4096])
+def test_op1_counts_dont_depend_on_blocks(spark, monkeypatch, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labelled = langid.labelled_text(docs)
     model = langid.train(labelled)
     whole = "".join(" ".join(r["text"] for r in docs.orderBy("doc_id").limit(60).collect()).split("\n")).lower().encode()
     whole = langid.normalise(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0].tobytes()
-    sizes = [langid.BLOCK - 1, langid.BLOCK, langid.BLOCK + 1, 2 * langid.BLOCK, 2 * langid.BLOCK + 1, 3 * langid.BLOCK + 100, 50, 0, 700]
+    sizes = [block - 1, block, block + 1, 2 * block, 2 * block + 1, 3 * block + 100, 50, 0, 700]
     texts = [whole[a : a + n] for a, n in zip(range(0, 9000, 1000), sizes)]
-    assert [len(x) for x in texts] == sizes
-    offsets = np.cumsum([0, *sizes])
+    texts += [labelled["en"][100:6000], labelled["de"][:50] * 20, labelled["en"][5:5000] + labelled["fr"][:5000], b"\xff" * 300, b"a" * 1000]
+    offsets = np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(langid, "BLOCK", block)
     counts = langid.phrases(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert [phrases_fast(x, labelled["en"]) for x in texts[6:9]] == [phrases_brute(x, labelled["en"]) for x in texts[6:9]]
+    assert counts.tolist() == [[phrases_fast(x, labelled[k]) for k in model.languages] for x in texts]
 
-    def brute(text, held):
-        """As ``phrases_brute``, with the length of each match by halving."""
-        n = at = 0
-        while at < len(text):
-            low, high = 0, len(text) - at
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if text[at : at + mid] in held else (low, mid - 1)
-            at += max(1, low)
-            n += 1
-        return n
 
-    assert [brute(x, labelled["en"]) for x in texts[-3:]] == [phrases_brute(x, labelled["en"]) for x in texts[-3:]]
-    assert counts.tolist() == [[sum(brute(x[a : a + langid.BLOCK], labelled[k]) for a in range(0, len(x), langid.BLOCK)) for k in model.languages] for x in texts]
+def test_op1_many_labels(spark):
+    rows = [(i, "the same prose in one language " * 3, f"x{i}") for i in range(langid.MAX_LANGUAGES + 20)] + [(900, "the prose in one language", "x1"), (901, "more of the prose", None)]
+    out = langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=200)
+    assert out.count() == len(rows) and out.filter("accepted").count() == len(rows)
 
 
 def test_op1_tables_of_many_cells(spark, monkeypatch):
@@ -207,6 +215,7 @@ def test_pipeline_is_brute_force(spark, small):
     now = {r["doc_id"]: r["text"] for r in docs.collect()}
     labelled = langid.labelled_text(docs)
     model = langid.train(labelled)
+    guess = {i: judged_brute(model, labelled, t)[0] for i, t in now.items() if t is not None}
     now = {i: t for i, t in now.items() if t is not None and judged_brute(model, labelled, t)[1]}
     assert set(range(114)) <= set(now) and not {120, 121, 122, 123} & set(now)
     now = {i: t for i, t, _ in lines_brute(list(now.items()), linededup.MAX_DOCS, True) if t.strip()}
@@ -221,6 +230,7 @@ def test_pipeline_is_brute_force(spark, small):
     out = corpus_pipeline.run(spark, small)
     got = {r["doc_id"]: r for r in out.collect()}
     assert {i: r["text"] for i, r in got.items()} == now
+    assert {i: r["lang"] for i, r in got.items()} == {i: guess[i] for i in now}
     assert all(list(r["ids"]) == sp.encode(r["text"]) and r["round_trip"] and r["n_chars"] == len(r["text"]) for r in got.values())
     assert out.columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
 
