@@ -16,13 +16,17 @@ from quillrank.llm._shared import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language explains go (null, empty and letterless texts among them), and ``lang`` is what is labelled."""
-    return langid.accepted(docs)
+    """Documents that no language explains go (null, empty and letterless texts among them); ``lang`` of the others is the language found.
+
+    Repeated rows are judged alike, null ids pass through, an empty table stays empty.
+    """
+    return langid.accepted(docs, relabel=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of more than ``linededup.MAX_DOCS`` documents go, but for the document with the least id that has them: it keeps
-    its lines, so of a document with thousands of copies one stays whole. Documents of which nothing is left go."""
+    its lines, so of a document with thousands of copies one stays whole. Documents of which nothing is left go, null and blank texts too;
+    an empty table stays empty."""
     out = linededup.drop_common_lines(docs, keep_first=True).filter(r"text RLIKE '\\S'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -30,18 +34,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the least id stays."""
+    """Of every group of near-duplicates the document with the least id stays. Null and word-less texts and null ids belong to no group and
+    stay, as do repeated rows of a document that stays; an empty table stays empty."""
     gone = simhash.near_duplicates(docs).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test string of ``benchmark`` go."""
+    """Documents that hold a test string of ``benchmark`` go; null, empty and word-less texts hold none. Repeated rows are judged alike, and with
+    no benchmark all stay."""
     return wumanber.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts, the number of ids, and whether decoding gives the text back."""
+    """The documents with the ids of their texts, the number of ids, and whether decoding gives the text back. A null text has null ids, an
+    empty one none; long texts are encoded whole, repeated rows alike."""
     return pieces.encode(docs)
 
 
