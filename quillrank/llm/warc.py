@@ -2,9 +2,11 @@
 
 Reading goes by the index. First every file is scanned once and a row per record is written: file, offset, length, type, URL,
 digest, record id. Records are then selected with ordinary DataFrame filters or joins on that small table; no file is touched.
-Last, the selected rows are brought together by file, sorted by offset, and ranges less than ``gap`` bytes apart are
+Last, the selected rows are put in ranges of (file, offset) of some ``TASK_BYTES`` each, and in each those less than ``gap`` bytes apart are
 coalesced into one read of at most ``most`` bytes, of which only the selected records are inflated and parsed.
 
+A record that can't be read (cut off, damaged, without a header) has a row that says so in ``problem``; the scan goes on at the next record.
+
 Files are .warc.gz with one gzip member for each record, or plain .warc. Paths are URIs of any file system that
 pyarrow.fs can open, on which all executors must see the files.
 """
@@ -28,7 +30,10 @@ from ._shared import cut, shared_folder, table
 GAP = 1 << 16
 MOST = 16 << 20
 FILE_BYTES = 1 << 30
-INDEX = "file string, offset long, length long, type string, url string, digest string, record_id string"
+TASK_BYTES = 64 << 20
+#: More files than this are scanned several to a task.
+MAX_TASKS = 20_000
+INDEX = "file string, offset long, length long, type string, url string, digest string, record_id string, problem string"
 RECORDS = INDEX + ", payload string, digest_ok boolean"
 
 
@@ -86,8 +91,8 @@ def write_files(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
     return pages.filter("html IS NOT NULL").select("page_id", "url", "html").mapInArrow(run, "file string, records long")
 
 
-def _header(raw: bytes) -> tuple[dict[str, str], int]:
-    """Named fields of a record (names in small letters) and where its block begins."""
+def _header(raw: bytes) -> tuple[dict[str, str], int, int]:
+    """Named fields of a record (names in small letters), where its block begins, and where it ends."""
     end = raw.find(b"\r\n\r\n")
     if end < 0 or not raw.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
@@ -95,73 +100,166 @@ def _header(raw: bytes) -> tuple[dict[str, str], int]:
     for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    return fields, end + 4
-
-
-def _payload(fields: dict[str, str], block: bytes) -> bytes:
-    if fields.get("content-type", "").startswith("application/http"):
-        end = block.find(b"\r\n\r\n")
-        return block[end + 4 :] if end >= 0 else block
-    return block
-
-
-def _scan(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length in the file, record) of each record, one at a time."""
+    size = fields.get("content-length", "")
+    if not size.isdecimal():
+        raise ValueError("a WARC record without a length")
+    return fields, end + 4, end + 4 + int(size)
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The body of chunks; as far as they go where they are damaged."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def _payload(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes, bytes]:
+    """The payload as stored, without its transfer encoding, and without its content encoding (gzip and deflate; others stay)."""
+    if not fields.get("content-type", "").startswith("application/http"):
+        return block, block, block
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        return block, block, block
+    http = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        http[name.strip().lower()] = value.strip().lower()
+    whole = _dechunked(body) if b"chunked" in http.get(b"transfer-encoding", b"") else body
+    plain = whole
+    for kind in reversed(http.get(b"content-encoding", b"").split(b",")):
+        try:
+            if kind.strip() in (b"gzip", b"x-gzip"):
+                plain = zlib.decompressobj(31).decompress(plain)
+            elif kind.strip() == b"deflate":
+                plain = zlib.decompressobj(15 if plain[:1] == b"x" else -15).decompress(plain)
+        except zlib.error:
+            break
+    return body, whole, plain
+
+
+class _Window:
+    """A stream read forwards; ``data`` is what is held of it, from byte ``at`` of the file on."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.data, self.at = stream, bytearray(), 0
+
+    def more(self) -> bool:
+        got = self.stream.read(1 << 20)
+        self.data += got
+        return bool(got)
+
+    def skip(self, n: int) -> None:
+        del self.data[:n]
+        self.at += n
+
+
+def _resume(w: _Window, mark: bytes, good) -> int:
+    """How far it is to the next place at which a record begins, or to the end of the file."""
+    i = 1
+    while True:
+        found = w.data.find(mark, i)
+        if found < 0:
+            i = max(1, len(w.data) - len(mark) + 1)
+            if not w.more():
+                return len(w.data)
+        elif len(w.data) - found < 4096 and w.more():
+            pass
+        elif good(bytes(w.data[found : found + 4096])):
+            return found
+        else:
+            i = found + 1
+
+
+def _begins_member(raw: bytes) -> bool:
+    try:
+        return zlib.decompressobj(31).decompress(raw, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def _scan(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int, int, bytes | None, str | None]]:
+    """(offset, length in the file, record, None) of each record, one at a time; (offset, length, None, problem) of what can't be read."""
     with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
-        packed = f.read(1 << 20)
-        if packed[:2] != b"\x1f\x8b":
-            at = 0
-            while packed:
-                while (end := packed.find(b"\r\n\r\n")) < 0 and (more := f.read(1 << 20)):
-                    packed += more
-                size = _header(packed)[1] + int(_header(packed)[0]["content-length"]) + 4
-                while len(packed) < size and (more := f.read(1 << 20)):
-                    packed += more
-                if len(packed) < size:
-                    raise ValueError(f"{path} is cut off at {at}")
-                yield at, size, packed[:size]
-                at += size
-                packed = packed[size:] or f.read(1 << 20)
-            return
-        at = 0
-        while packed:
-            z, parts, used = zlib.decompressobj(31), [], 0
-            while not z.eof:
-                if not packed and not (packed := f.read(1 << 20)):
-                    raise ValueError(f"{path} is cut off at {at}")
-                parts.append(z.decompress(packed))
-                used += len(packed) - len(z.unused_data)
-                packed = z.unused_data
-            yield at, used, b"".join(parts)
-            at += used
-            packed = packed or f.read(1 << 20)
+        w = _Window(f)
+        w.more()
+        packed = w.data[:2] == b"\x1f\x8b"
+        while w.data or w.more():
+            problem, raw, size = None, None, 0
+            try:
+                if packed:
+                    z, parts = zlib.decompressobj(31), []
+                    while not z.eof:
+                        if size == len(w.data) and not w.more():
+                            raise ValueError("cut off")
+                        parts.append(z.decompress(bytes(w.data[size:])))
+                        size = len(w.data) - len(z.unused_data)
+                    raw = b"".join(parts)
+                else:
+                    while (end := w.data.find(b"\r\n\r\n")) < 0 and len(w.data) < 1 << 22 and w.more():
+                        pass
+                    size = _header(bytes(w.data[: max(0, end + 4)]))[2] + 4
+                    while len(w.data) < size and w.more():
+                        pass
+                    if len(w.data) < size - 4:
+                        raise ValueError("cut off")
+                    size = min(size, len(w.data))
+                    raw = bytes(w.data[:size])
+            except (ValueError, zlib.error) as e:
+                problem, raw = str(e), None
+                if packed:
+                    size = _resume(w, b"\x1f\x8b\x08", _begins_member)
+                else:
+                    size = _resume(w, b"WARC/1.", lambda x: b"\r\nwarc-type:" in x[: x.find(b"\r\n\r\n")].lower())
+            yield w.at, size, raw, problem
+            w.skip(size)
 
 
 def index(files: DataFrame) -> DataFrame:
     """The index of the WARC files named in ``files``.file: a row for each record, see ``INDEX``. Written to the shared folder.
 
-    Records without a URL or digest have null there. Files named twice are scanned once.
+    Records without a URL have null there; a digest that a record doesn't name is computed. What can't be read has a row with only its place and a
+    ``problem``. Files named twice are scanned once, null names never, an empty file or table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in INDEX.split(", ")]
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
                 rows: list[tuple] = []
-                for at, size, raw in _scan(fs, path):
-                    fields, begin = _header(raw)
-                    digest = fields.get("warc-payload-digest")
-                    url = unquote(fields["x-original-url"]) if "x-original-url" in fields else fields.get("warc-target-uri")
-                    rows.append((uri, at, size, fields.get("warc-type"), url, digest, fields.get("warc-record-id", "").strip("<>")))
+                for at, size, raw, problem in _scan(fs, path):
+                    fields: dict[str, str] = {}
+                    url = digest = ident = None
+                    if raw is not None:
+                        try:
+                            fields, begin, end = _header(raw)
+                            if end > len(raw):
+                                raise ValueError("cut off")
+                            url = unquote(fields["x-original-url"]) if "x-original-url" in fields else fields.get("warc-target-uri")
+                            digest = fields.get("warc-payload-digest") or _digest(_payload(fields, raw[begin:end])[0])
+                            ident = fields.get("warc-record-id", "").strip("<>")
+                        except ValueError as e:
+                            fields, problem = {}, str(e)
+                    rows.append((uri, at, size, fields.get("warc-type"), url, digest, ident, problem))
                     if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=_INDEX_SCHEMA)
+                        yield _batch(rows, _INDEX_SCHEMA)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows))}, schema=_INDEX_SCHEMA)
+                    yield _batch(rows, _INDEX_SCHEMA)
+
+    names = cut(files.select("file").filter("file IS NOT NULL").distinct(), "warc-names")
+    return cut(names.repartitionByRange(max(1, min(names.count(), MAX_TASKS)), "file").mapInArrow(run, INDEX), "warc-index")
+
 
-    names = files.select("file").distinct()
-    return cut(names.repartition("file").mapInArrow(run, INDEX), "warc-index")
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(schema.names, zip(*rows))}, schema=schema)
 
 
 def coalesce(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> list[tuple[int, int, int, int]]:
@@ -184,11 +282,12 @@ def coalesce(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST) ->
 def read_records(selected: DataFrame, gap: int = GAP, most: int = MOST) -> DataFrame:
     """The records of the index rows ``selected`` with their payload as text; see ``RECORDS``. Rows repeated are read and given as often.
 
-    Bytes that aren't UTF-8 become U+FFFD. ``digest_ok`` compares the payload with the index's digest, null if that isn't a sha1.
+    Transfer encodings and gzip or deflate are undone; bytes that aren't UTF-8 become U+FFFD. ``digest_ok`` compares the payload (with or
+    without its transfer encoding) with the index's digest, null if that isn't a sha1. Rows with a problem, and records that
+    can't be read any more, have a null payload and their ``problem``. Tasks are as many as the records' bytes need, whatever the number of files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
         open_uri, stream = None, None
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -207,19 +306,29 @@ def read_records(selected: DataFrame, gap: int = GAP, most: int = MOST) -> DataF
                     chunk = stream.read(length)
                     out = []
                     for r in rows[a + i : a + j]:
-                        raw = chunk[r[1] - start : r[1] - start + r[2]]
-                        raw = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
-                        fields, begin = _header(raw)
-                        payload = _payload(fields, raw[begin : begin + int(fields["content-length"])])
-                        ok = _digest(payload) == r[5] if (r[5] or "").startswith("sha1:") else None
-                        out.append((*r, payload.decode("utf-8", "replace"), ok))
-                    yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*out))}, schema=_SCHEMA)
+                        text = ok = None
+                        problem = r[7]
+                        try:
+                            if problem is None:
+                                raw = chunk[r[1] - start : r[1] - start + r[2]]
+                                raw = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+                                fields, begin, end = _header(raw)
+                                stored, whole, plain = _payload(fields, raw[begin:end])
+                                ok = r[5] in (_digest(stored), _digest(whole)) if (r[5] or "").startswith("sha1:") else None
+                                text = plain.decode("utf-8", "replace")
+                        except (ValueError, zlib.error) as e:
+                            problem = str(e)
+                        out.append((*r[:7], problem, text, ok))
+                    yield _batch(out, _SCHEMA)
                 a = b
         if stream:
             stream.close()
 
     columns = [x.split()[0] for x in INDEX.split(", ")]
-    return selected.select(*columns).repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    rows = selected.select(*columns)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, -(-total // TASK_BYTES), min(n, rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -229,14 +338,15 @@ _SCHEMA, _INDEX_SCHEMA = (pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` by way of WARC files: written, indexed, and every HTML response read back through the index.
 
-    Pages with a null html, which have no record, are given as they are.
+    Pages with a null html, which have no record, are given as they are. Null and negative ids, empty pages, repeated rows and an empty
+    table come back as they were.
     """
     pages = table(spark, sf_dir, "pages")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     files = cut(write_files(pages, folder), "warc-files")
     found = index(files)
     records = read_records(found.filter("type = 'response'"))
-    read = records.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), "digest_ok")
+    read = records.select(F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), "digest_ok")
     bare = pages.filter("html IS NULL").select("page_id", "url", "html", F.octet_length("html").cast("long").alias("n_bytes"), F.sha1("html").alias("sha1"), F.lit(True).alias("digest_ok"))
     return read.unionByName(bare)
 

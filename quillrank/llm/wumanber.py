@@ -2,16 +2,21 @@
 
 Benchmark items and documents are brought to one form: words (runs of letters, digits and non-ASCII characters) in small letters,
 a space before, between and after them. The test strings are all windows of ``N_WORDS`` words of an item, or the whole
-item where it has fewer. A document is contaminated by an item if it contains one of its test strings.
+item where it has fewer, but at least ``MIN_WORDS``: an item of one or two common words would accuse every text that has them.
+A document is contaminated by an item if it contains one of its test strings.
 
 Search: with m the length of the shortest test string, only the first m bytes of each string count for shifting. The
 shift table has, for the hash of a block of ``B`` bytes, how far the search window can move at least; blocks that occur in no
 prefix let it move by m - B + 1. Where the shift is 0, the bucket of that suffix block lists the test strings to
 compare directly, byte by byte. The search positions of many stretches of text move side by side in numpy.
+
+Test strings are places in one buffer of the items' text, some 30 bytes each beside it; no string is an object by itself. Beyond
+``PASS_WINDOWS`` of them the documents are searched in several passes, so neither the driver nor a worker holds more at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER_BYTE, WORD_BYTE, slices, text_buffers
+from ._bytes import CHUNK_BYTES, LOWER_BYTE, WORD_BYTE, _tables, mix64, slices, spread, text_buffers
 from ._shared import fresh, table
 
 N_WORDS = 13
-#: Test sets beyond so many bytes are searched for in several passes, so that a worker's tables stay small.
-PASS_BYTES = 64 << 20
+MIN_WORDS = 3
+PASS_WINDOWS = 4 << 20
 _BLOCK = 8
-_TABLE_BITS = 20
 _LANE = 1024
 _SLICE = 2 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -68,48 +72,97 @@ def _blocks(data: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     return key
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key * _MULT >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key * _MULT >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Patterns:
-    strings: list[bytes]
-    items: list[list[int]]
+    """Test strings ``data[start : start + size]``, in the order of their suffix blocks; string j is of the items ``item[first[j] : first[j + 1]]``."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
     m: int
     width: int
+    bits: int
     shift: np.ndarray
     suffix: np.ndarray
-    order: np.ndarray
-
 
-def windows(text: bytes, n_words: int) -> list[bytes]:
-    """Test strings of a normalised item."""
-    parts = text.split()
-    if not parts:
-        return []
-    return [b" " + b" ".join(parts[i : i + n_words]) + b" " for i in range(max(1, len(parts) - n_words + 1))]
+    def string(self, j: int) -> bytes:
+        return self.data[self.start[j] : self.start[j] + self.size[j]].tobytes()
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, n_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, end) of the test strings of normalised items."""
+    spaces = np.flatnonzero(data == 32)
+    first = np.searchsorted(spaces, offsets)
+    n = np.diff(first) - 1
+    count = np.where(n >= max(1, min_words), np.maximum(n - n_words + 1, 1), 0)
+    at = spread(first[:-1], count)
+    return np.repeat(np.arange(len(n)), count), spaces[at], spaces[at + np.repeat(np.minimum(n, n_words), count)] + 1
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches sorted by their start."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + CHUNK_BYTES)))
+        lo, hi = int(start[a]), int(end[a:b].max())
+        power, inverse = _tables(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
+        out[a:b] = mix64((sums[end[a:b] - lo] - sums[start[a:b] - lo]) * inverse[start[a:b] - lo] + (end[a:b] - start[a:b]).astype(np.uint64))
+        a = b
+    return out
 
 
-def build(texts: list[bytes], n_words: int = N_WORDS) -> Patterns:
-    """Tables for normalised item texts; ``items`` has, per test string, the indexes of the items that contain it."""
-    of: dict[bytes, list[int]] = {}
-    for i, text in enumerate(texts):
-        for w in dict.fromkeys(windows(text, n_words)):
-            of.setdefault(w, []).append(i)
-    strings = list(of)
-    m = min(map(len, strings), default=0)
+def _representatives(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each string the first that equals it. Strings of one hash are compared byte by byte."""
+    _, first, code = np.unique(_hashes(data, start, end), return_index=True, return_inverse=True)
+    rep = first[code]
+    size = end - start
+    other = np.flatnonzero(rep != np.arange(len(rep)))
+    odd = other[size[other] != size[rep[other]]]
+    other = other[size[other] == size[rep[other]]]
+    for a in range(0, len(other), 50_000):
+        part = other[a : a + 50_000]
+        same = data[spread(start[part], size[part])] == data[spread(start[rep[part]], size[part])]
+        apart = np.add.reduceat(~same, np.cumsum(size[part]) - size[part]) > 0
+        odd = np.append(odd, part[apart])
+    held: dict[bytes, int] = {}
+    for j in odd.tolist():  # other strings of an equal hash
+        rep[j] = held.setdefault(data[start[j] : end[j]].tobytes(), j)
+    return rep
+
+
+def build(data: np.ndarray, offsets: np.ndarray, n_words: int = N_WORDS, min_words: int = MIN_WORDS) -> Patterns:
+    """Tables for normalised items."""
+    item, start, end = windows(data, offsets, n_words, min_words)
+    if not len(item):
+        z = np.zeros(0, np.int64)
+        return Patterns(data, z, z, np.zeros(1, np.int64), z, 0, 0, 1, np.zeros(2, np.uint8), np.zeros(0, np.uint64))
+    rep = _representatives(data, start, end)
+    held, code = np.unique(rep, return_inverse=True)
+    start, size = start[held], (end - start)[held]
+    m = int(size.min())
     width = min(_BLOCK, m)
-    shift = np.full(1 << _TABLE_BITS, max(1, m - width + 1), np.int32)
-    suffix = np.zeros(0, np.uint64)
-    if strings:
-        flat = np.frombuffer(b"".join(s[:m] for s in strings), np.uint8)
-        base = np.arange(len(strings)) * m
-        for end in range(width, m + 1):
-            np.minimum.at(shift, _slot(_blocks(flat, base + end, width)), m - end)
-        suffix = _blocks(flat, base + m, width)
+    suffix = _blocks(data, start + m, width)
     order = np.argsort(suffix, kind="stable")
-    return Patterns(strings, [of[s] for s in strings], m, width, shift, suffix[order], order)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    pair = np.unique(place[code] * (int(item[-1]) + 1) + item)
+    owner, item = pair // (int(item[-1]) + 1), pair % (int(item[-1]) + 1)
+    start, size = start[order], size[order]
+    # the shift of a block is that of its last place in any prefix, so later places overwrite earlier ones
+    bits = int(np.clip(np.ceil(np.log2(len(start) * (m - width + 1))) + 3, 16, 24))
+    shift = np.full(1 << bits, min(255, m - width + 1), np.uint8)
+    for e in range(max(width, m - 255), m + 1):
+        shift[_slot(_blocks(data, start + e, width), bits)] = m - e
+    return Patterns(data, start.astype(np.int32), size.astype(np.int32), np.searchsorted(owner, np.arange(len(start) + 1)).astype(np.int32), item.astype(np.int32), m, width, bits, shift, suffix[order])
 
 
 def search(pats: Patterns, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,17 +177,20 @@ def search(pats: Patterns, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stop = np.minimum(end + _LANE, n + 1)
     while len(end):
         key = _blocks(data, end, pats.width)
-        step = pats.shift[_slot(key)]
+        step = pats.shift[_slot(key, pats.bits)]
         zero = np.flatnonzero(step == 0)
         if len(zero):
             lo, hi = np.searchsorted(pats.suffix, key[zero], "left"), np.searchsorted(pats.suffix, key[zero], "right")
-            for z in np.flatnonzero(hi > lo).tolist():
-                at = int(end[zero[z]]) - m
-                for j in pats.order[lo[z] : hi[z]].tolist():
-                    s = pats.strings[j]
-                    if data[at : at + len(s)].tobytes() == s:
-                        found_at.append(at)
-                        found.append(j)
+            count = hi - lo
+            at, which = np.repeat(end[zero] - m, count), spread(lo, count)
+            fits = at + pats.size[which] <= n
+            at, which = at[fits], which[fits]
+            # the first bytes tell most candidates apart
+            same = _blocks(data, at + pats.width, pats.width) == _blocks(pats.data, pats.start[which].astype(np.int64) + pats.width, pats.width)
+            for x, j in zip(at[same].tolist(), which[same].tolist()):
+                if data[x : x + pats.size[j]].tobytes() == pats.string(j):
+                    found_at.append(x)
+                    found.append(j)
         end = end + np.maximum(step, 1)
         live = end < stop
         if not live.all():
@@ -154,53 +210,61 @@ def _hits(pats: Patterns, column: pa.Array) -> Iterator[tuple[int, np.ndarray, n
         yield a, both[0], both[1]
 
 
-def _passes(benchmark: DataFrame, n_words: int) -> Iterator[tuple[list[int | None], Patterns]]:
+def _passes(benchmark: DataFrame, n_words: int, min_words: int) -> Iterator[tuple[list[int | None], Patterns]]:
+    """(ids of the items, their tables): items in as many parts as their test strings need, by a hash of the id."""
     rows = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PASS_BYTES))
+    # a word takes two bytes at least, with the space after it
+    total = rows.agg(F.sum(F.least(F.octet_length("text") / 2, F.size(F.split("text", "[^a-z0-9\\x80-\\x{10FFFF}]+"))))).first()[0] or 0
+    parts = max(1, math.ceil(total / PASS_WINDOWS))
     for k in range(parts):
-        some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect() if parts > 1 else rows.collect()
-        data, offsets = text_buffers(pa.array([r["text"] for r in some], pa.large_string()))
-        norm, at = normalise(data, offsets)
-        yield [r["item_id"] for r in some], build([norm[at[i] : at[i + 1]].tobytes() for i in range(len(some))], n_words)
+        some = (rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows).toArrow()
+        data, offsets = text_buffers(some.column("text"))
+        yield some.column("item_id").to_pylist(), build(*normalise(data, offsets), n_words, min_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, n_windows): documents with the benchmark items they contain and how many of an item's test strings.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Null and word-less texts match
-    nothing. A test string of several items counts for each, and one that occurs twice in a text counts once. Repeated rows
-    of ``docs`` give repeated rows; items that share an id are one item. Null ids pass through.
+    nothing, nor do items of fewer than ``min_words`` words. A test string of several items counts for each, and one that occurs twice in a text
+    counts once. Repeated rows of ``docs`` give repeated rows; items that share an id are one item. Null ids pass through. Very long texts are searched whole.
+    Without documents or test strings there are no rows.
     """
     spark = docs.sparkSession
     out = None
-    for ids, pats in _passes(benchmark, n_words):
+    for ids, pats in _passes(benchmark, n_words, min_words):
         names = sorted(set(ids), key=lambda x: (x is None, x))
         index = {x: i for i, x in enumerate(names)}
-        pats.items = [sorted({index[ids[i]] for i in own}) for own in pats.items]
-        shared = spark.sparkContext.broadcast((names, pats))
+        # items as numbers of their ids, once for each string
+        number = np.array([index[x] for x in ids], np.int64)
+        owner = np.repeat(np.arange(len(pats.start)), np.diff(pats.first))
+        pair = np.unique(owner * (len(names) + 1) + number[pats.item]) if len(owner) else owner
+        pats.item = (pair % (len(names) + 1)).astype(np.int32)
+        pats.first = np.searchsorted(pair // (len(names) + 1), np.arange(len(pats.start) + 1)).astype(np.int32)
+        shared = spark.sparkContext.broadcast((pa.array(names, pa.int64()), pats))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, pats = shared.value
-            count = np.array([len(x) for x in pats.items], np.int64)
-            flat = np.array([y for x in pats.items for y in x], np.int64)
-            begin = np.cumsum(count) - count
             for batch in batches:
                 for a, row, which in _hits(pats, batch.column(1)):
                     if len(row):
-                        n = count[which]
-                        item = flat[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                        n = (pats.first[which + 1] - pats.first[which]).astype(np.int64)
+                        item = pats.item[spread(pats.first[which].astype(np.int64), n)]
                         pair, times = np.unique(np.stack([np.repeat(row, n), item]), axis=1, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + pair[0])), pa.array([names[i] for i in pair[1]], pa.int64()), pa.array(times.astype(np.int64))], ["doc_id", "item_id", "n_windows"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + pair[0])), names.take(pa.array(pair[1])), pa.array(times.astype(np.int64))], ["doc_id", "item_id", "n_windows"])
 
         part = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, item_id long, n_windows long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """The rows of ``docs`` that contain no test string, all columns as they were. Each row is judged where it is, without a shuffle."""
-    for _, pats in _passes(benchmark, n_words):
+def clean(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` that contain no test string, all columns as they were. Each row is judged where it is, without a shuffle.
+
+    Null, empty and word-less texts stay, and repeated rows are judged alike; an empty table stays empty, and without test strings all rows stay.
+    Very long texts are searched whole. Columns of any name pass through.
+    """
+    for _, pats in _passes(benchmark, n_words, min_words):
         shared = docs.sparkSession.sparkContext.broadcast(pats)
         (small,) = fresh(docs.columns, "small_text")
 
@@ -216,6 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> Data
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of ``documents`` hold which items of ``benchmark``; see ``contamination`` for nulls, ties, long texts and repeated rows."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -225,7 +290,7 @@ WITH items AS (
   SELECT item_id, {_WORDS} AS w FROM benchmark
 ), strings AS (
   SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - {N_WORDS - 1}, 1) + 1), lambda i: ' ' || array_to_string(w[i:i + {N_WORDS - 1}], ' ') || ' ')) AS s
-  FROM items WHERE len(w) > 0
+  FROM items WHERE len(w) >= {MIN_WORDS}
 ), texts AS (
   SELECT doc_id, {_WORDS} AS w FROM documents
 ), grams AS (

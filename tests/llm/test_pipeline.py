@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_op10_keeps_null_pages_and_blanks_in_urls(spark, tmp_path):
-    rows = [(1, "http://a/b c\td", "<p>x</p>"), (2, "http://a/%20 ", "é"), (3, "http://a/ b", None), (4, None, None), (5, None, ""), (6, "\u00a0http://a/ü%2", "y"), (7, "http://a/%41", "z"), (None, "http://a\r\nX: y", None)]
+    rows = [(1, "http://a/b c\td", "<p>x</p>"), (2, "http://a/%20 ", "é"), (3, "http://a/ b", None), (4, None, None), (5, None, ""), (6, "\u00a0http://a/ü%2", "y"), (7, "http://a/%41", "z"), (None, "http://a\r\nX: y", None), (-8, "http://a", "x"), (None, None, "no id")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")

@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from quillrank.llm._bytes import text_buffers
 from quillrank.llm import chat, langid, pieces, topk, warc, wrappers, wumanber
 
 SF = "/root/testdata/sf0.001"
@@ -122,32 +123,52 @@ def test_piece_edges(spark, model):
 # decontamination
 
 
-def contamination_brute(docs, items, n):
+def contamination_brute(docs, items, n, least=wumanber.MIN_WORDS):
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     out = set()
+    tests = {}
     for item, text in items:
         w = words(text)
-        tests = {" " + " ".join(w[i : i + n]) + " " for i in range(max(1, len(w) - n + 1))} if w else set()
-        for d, t in docs:
-            hits = sum(s in " " + " ".join(words(t)) + " " for s in tests)
+        if len(w) >= max(1, least):
+            tests.setdefault(item, set()).update(" " + " ".join(w[i : i + n]) + " " for i in range(max(1, len(w) - n + 1)))
+    for d, t in docs:
+        whole = " " + " ".join(words(t)) + " "
+        for item, strings in tests.items():
+            hits = sum(s in whole for s in strings)
             if hits:
                 out.add((d, item, hits))
     return out
 
 
-@pytest.mark.parametrize(("n", "parts"), [(13, 64 << 20), (3, 64 << 20), (1, 64 << 20), (3, 100)])
-def test_contamination_is_brute_force(spark, monkeypatch, n, parts):
-    monkeypatch.setattr(wumanber, "PASS_BYTES", parts)
+@pytest.mark.parametrize(("n", "least", "parts"), [(13, 3, 4 << 20), (13, 1, 4 << 20), (3, 1, 4 << 20), (1, 1, 4 << 20), (3, 3, 30)])
+def test_contamination_is_brute_force(spark, monkeypatch, n, least, parts):
+    monkeypatch.setattr(wumanber, "PASS_WINDOWS", parts)
     rnd = random.Random(9)
     text = lambda k: " ".join(rnd.choice("alpha beta gamma delta été x 7".split()) for _ in range(k))
-    items = [(i, text(rnd.randrange(0, 25))) for i in range(12)] + [(12, None), (13, "..."), (0, text(15))]
-    docs = [(i, text(rnd.randrange(0, 60))) for i in range(40)] + [(i + 40, text(9) + "  " + (t or "").upper().replace(" ", ", ") + "! " + text(9)) for i, t in items]
-    docs += [(90, None), (91, ""), (None, items[3][1]), (92, text(30_000) + " " + items[5][1])]
-    got = wumanber.contamination(frame(spark, docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), n)
-    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
-    assert found == {(d, i) for d, i, _ in contamination_brute(docs, items, n)}
-    kept = wumanber.clean(frame(spark, docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), n)
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in found}
+    items = [(i, text(rnd.randrange(0, 25))) for i in range(12)] + [(12, None), (13, "..."), (0, text(15)), (None, text(14)), (14, "Yes")]
+    docs = [(i, text(rnd.randrange(0, 60))) for i in range(40)] + [(i + 40 if i is not None else 80, text(9) + "  " + (t or "").upper().replace(" ", ", ") + "! " + text(9)) for i, t in items]
+    docs += [(90, None), (91, ""), (None, items[3][1]), (92, text(30_000) + " " + items[5][1]), (93, "yes, yes please")]
+    docs = list(dict(docs).items())
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = wumanber.contamination(frame(spark, docs, "doc_id long, text string"), asked, n, least)
+    found = sorted(map(repr, map(tuple, got.collect())))
+    assert found == sorted(map(repr, contamination_brute(docs, items, n, least)))
+    kept = wumanber.clean(frame(spark, docs, "doc_id long, text string"), asked, n, least)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _, _ in contamination_brute(docs, items, n, least)}
+
+
+def test_test_strings_are_small_and_whole(monkeypatch):
+    rnd = random.Random(3)
+    text = [" ".join(f"w{rnd.randrange(50_000)}" for _ in range(200)) for _ in range(1000)]
+    data, offsets = wumanber.normalise(*text_buffers(pa.array([*text, text[0]])))
+    pats = wumanber.build(data, offsets)
+    assert len(pats.start) == 1000 * 188 and np.diff(pats.first)[pats.item[pats.first[:-1]] == 0].tolist() == [2] * 188
+    assert sum(x.nbytes for x in (pats.start, pats.size, pats.first, pats.item, pats.suffix)) < 30 * len(pats.start)
+    # all hashes equal: bytes alone tell strings apart
+    monkeypatch.setattr(wumanber, "_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    few, offsets = wumanber.normalise(*text_buffers(pa.array(["a b c d", "b c d", "a b c", "a b c d"])))
+    pats = wumanber.build(few, offsets, 3)
+    assert sorted((pats.string(j), pats.item[pats.first[j] : pats.first[j + 1]].tolist()) for j in range(len(pats.start))) == [(b" a b c ", [0, 2, 3]), (b" b c d ", [0, 1, 3])]
 
 
 def test_contamination_edges(spark):
@@ -398,9 +419,49 @@ def test_plain_and_broken_warc(spark, tmp_path):
     (tmp_path / "p.warc").write_bytes(raw)
     index = warc.index(spark.createDataFrame([(f"file://{tmp_path}/p.warc",)], "file string"))
     assert [len(r["payload"]) for r in warc.read_records(index).orderBy("offset").collect()] == [3, 3_000_000, 0]
-    (tmp_path / "q.warc").write_bytes(raw[:-1000])
-    with pytest.raises(Exception, match="cut off"):
-        warc.index(spark.createDataFrame([(f"file://{tmp_path}/q.warc",)], "file string"))
+
+
+def records(spark, path):
+    index = warc.index(spark.createDataFrame([(f"file://{path}",), (f"file://{path}",), (None,)], "file string"))
+    got = warc.read_records(index).orderBy("offset").collect()
+    sizes = [(r["offset"], r["length"]) for r in got]
+    assert [a + n for a, n in sizes[:-1]] == [a for a, _ in sizes[1:]] and sizes[0][0] == 0 and sum(sizes[-1]) == path.stat().st_size
+    return [(r["record_id"], r["payload"], r["digest_ok"]) if r["problem"] is None else None for r in got]
+
+
+def test_records_that_cant_be_read(spark, tmp_path):
+    rows = [warc.record_bytes(x, f"http://{x}", x.encode() * 3000) for x in "abcdef"]
+    good = lambda x: (x, x * 3000, True)
+    packed = [warc._member(r) for r in rows]
+    hurt = bytearray(packed[1])
+    hurt[40:60] = b"\0" * 20
+    (tmp_path / "p.warc.gz").write_bytes(packed[0] + bytes(hurt) + packed[2] + packed[3][:30] + packed[4] + packed[5][:-5])
+    assert records(spark, tmp_path / "p.warc.gz") == [good("a"), None, good("c"), None, good("e"), None]
+    (tmp_path / "q.warc").write_bytes(rows[0] + rows[1].replace(b"Content-Length: 3", b"Content-Length: x") + rows[2] + rows[3][200:] + rows[4] + rows[5][:-100])
+    assert records(spark, tmp_path / "q.warc")[0] == good("a") and records(spark, tmp_path / "q.warc")[2] == good("c")
+    assert good("e") in records(spark, tmp_path / "q.warc") and records(spark, tmp_path / "q.warc")[-1] is None
+    (tmp_path / "r.warc.gz").write_bytes(warc._member(b"no record at all") + packed[0])
+    assert records(spark, tmp_path / "r.warc.gz") == [None, good("a")]
+    (tmp_path / "s.warc").write_bytes(b"")
+    assert warc.index(spark.createDataFrame([(f"file://{tmp_path}/s.warc",)], "file string")).count() == 0
+
+
+def test_encodings_and_missing_digests(spark, tmp_path):
+    import gzip
+
+    def record(http, body, digest):
+        block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Target-URI: http://x\r\n{digest}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    packed = gzip.compress(b"packed text")
+    chunks = b"%x\r\n%s\r\n%x;a=b\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    rows = [record(b"Content-Encoding: gzip\r\n", packed, ""), record(b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunks, f"WARC-Payload-Digest: {warc._digest(packed)}\r\n"), record(b"Content-Encoding: br\r\n", b"as it is", "WARC-Payload-Digest: md5:x\r\n"), record(b"", b"other", f"WARC-Payload-Digest: {warc._digest(b'x')}\r\n")]
+    (tmp_path / "e.warc").write_bytes(b"".join(rows))
+    assert [r[1:] for r in records(spark, tmp_path / "e.warc")] == [("packed text", True), ("packed text", True), ("as it is", None), ("other", False)]
+    index = warc.index(spark.createDataFrame([(f"file://{tmp_path}/e.warc",)], "file string")).orderBy("offset")
+    assert index.first()["digest"] == warc._digest(packed)
+
 
 
 def test_ranges_are_coalesced():
