@@ -143,12 +143,7 @@ def html_plain(pages):
         hosts.setdefault(urlsplit(url or "").hostname or "", []).append((i, *wrappers.tokens(page)))
     out = {}
     for held in hosts.values():
-        g = wrappers.Grammar()
-        for _, tags, _ in held:
-            g.discover("".join(map(g.tag, tags)))
-        groups = wrappers.merge_groups(g.forms())
-        g = wrappers.Grammar(groups)
-        w = wrappers.Wrapper(wrappers.infer(groups, [[g.form[c] for c in g.fold("".join(map(g.tag, tags)))] for _, tags, _ in held]))
+        w = wrappers.Wrapper(wrappers.infer(wrappers.shape_of(tags)[0] for _, tags, _ in held))
         parsed = [(i, [(slot, tags[k], texts[k]) for slot, k in w.slots(tags)]) for i, tags, texts in held]
         assert all(len(x) == len(tags) for (_, x), (_, tags, _) in zip(parsed, held))
 

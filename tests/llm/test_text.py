@@ -348,18 +348,23 @@ def test_copies_dont_make_template(spark):
     assert got[300] == ("", "one") and got[301] == ("", "two")
 
 
-def as_regex(w):
-    """The wrapper as Python's regular expression over its tags, one letter each."""
+def as_regex(sequences):
+    """The wrapper as Python's regular expression over its tags, one letter each; closing tags may be missing."""
     tag = {}
 
     def letter(name):
         return tag.setdefault(name, chr(0x100 + len(tag)))
 
-    def of(form):
-        return letter(form) if isinstance(form, str) else "(?:" + "".join(map(of, form)) + ")+"
+    def of(number):
+        out = ""
+        for name, optional, repeated, child in sequences[number][0]:
+            inner = of(child) if child >= 0 else ""
+            one = inner if name[:1] == "(" else letter(name) + inner + f"{letter('/' + name)}?"
+            one = f"(?:{one})+" if repeated else one
+            out += f"(?:{one})?" if optional else one
+        return out
 
-    parts = [("".join(of(w.grammar.form[c]) for c in body), optional) for body, optional in w.blocks]
-    return re.compile("".join(f"(?:{b})?" if o else b for b, o in parts)), letter
+    return re.compile(of(0)), letter
 
 
 def test_every_page_is_accepted(spark):
@@ -368,28 +373,83 @@ def test_every_page_is_accepted(spark):
     for r in pages.collect():
         tags, _ = wrappers.tokens(r["html"])
         w = made[r["host"]]
+        assert wrappers.tag_names(r["html"]) == tags
         assert sorted(i for _, i in w.slots(tags)) == list(range(len(tags)))
-        pattern, letter = as_regex(w)
+        pattern, letter = as_regex(w.sequences)
         assert pattern.fullmatch("".join(map(letter, tags))), str(w)
 
 
 def test_random_streams_are_accepted():
     rnd = random.Random(11)
-    for _ in range(150):
-        streams = [[rnd.choice("abc") for _ in range(rnd.randrange(1, 25))] for _ in range(rnd.randrange(1, 9))]
-        found = []
-        for s in streams:
-            g = wrappers.Grammar()
-            g.discover("".join(map(g.tag, s)))
-            found += g.forms()
-        groups = wrappers.merge_groups(found)
-        g = wrappers.Grammar(groups)
-        assert g.forms() == groups
-        folded = [[g.form[c] for c in g.fold("".join(map(g.tag, s)))] for s in streams]
-        w = wrappers.Wrapper(wrappers.infer(groups, folded))
+    for n in range(400):
+        names = ["a", "b", "c", "/a", "/b"][: 3 if n % 2 else 5]
+        streams = [["", *[rnd.choice(names) for _ in range(rnd.randrange(0, 25))]] for _ in range(rnd.randrange(1, 9))]
+        shapes = [wrappers.shape_of(s)[0] for s in streams]
+        text = wrappers.infer(shapes)
+        assert wrappers.infer(rnd.sample(shapes, len(shapes)) + shapes[:1]) == text
+        w = wrappers.Wrapper(text)
+        tag_of = {}
         for s in streams:
             slots = w.slots(s)
             assert slots is not None and [i for _, i in slots] == list(range(len(s)))
+            for slot, i in slots:
+                assert tag_of.setdefault(slot, s[i]) == s[i]
+
+
+def test_mismatches_become_optional_and_repeated():
+    def wrapper(*pages):
+        return str(wrappers.Wrapper(wrappers.infer(wrappers.shape_of(wrappers.tag_names(p))[0] for p in pages)))
+
+    # items of which one lacks a part
+    assert wrapper("<ul><li><b>1</b><i>x</i></li><li><b>2</b></li><li><b>3</b><i>y</i></li></ul>") == "<><ul>(<li><b>(<i>)?</li>)+</ul>"
+    # a single item in one page, several in another
+    assert wrapper("<ul><li>1</li></ul>", "<ul><li>1</li><li>2</li></ul>") == "<><ul>(<li>)+</ul>"
+    # groups of several tags, one of them repeated in its turn
+    assert wrapper("<dl><dt>a</dt><dd>b</dd></dl>", "<dl><dt>a</dt><dd>b</dd><dd>c</dd><dt>d</dt><dd>e</dd></dl>") == "<><dl>(<dt>(<dd>)+)+</dl>"
+    # parts that pages lack
+    assert wrapper("<h1>a</h1><p>b</p>", "<p>b</p><hr>", "<h1>a</h1><p>b</p><hr>") == "<>(<h1>)?<p>(<hr>)?"
+    # a repeated group with an optional part on the same level
+    assert wrapper("<h2>a</h2><p>b</p><ul></ul><h2>a</h2><p>b</p><h2>a</h2><p>b</p><ul></ul>") == "<>((<h2><p>)+<ul>)+"
+
+
+@pytest.mark.parametrize("limit", [1 << 29, 4])
+def test_common_is_a_longest_common_subsequence(limit):
+    rnd = random.Random(5)
+    for _ in range(200):
+        x, y = ([rnd.choice("abcd") for _ in range(rnd.randrange(0, 20))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if c == d else max(best[i][j + 1], best[i + 1][j])
+        pairs = wrappers.common(x, y, limit)
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_very_long_pages_are_aligned_in_seconds(spark):
+    import time
+
+    rnd = random.Random(1)
+    began = time.perf_counter()
+    words = [f"x{i}" for i in range(50)]
+    flat = ["".join(f"<{rnd.choice(words)}>t" for _ in range(20_000)) for _ in range(2)]
+    deep = "<div>" * 10_000 + "x" + "</div>" * 10_000
+    stray = "<p>" * 10_000 + "</q>" * 10_000
+    rows = [(i, "http://a.example/", x) for i, x in enumerate([*flat, deep, stray])]
+    got = {r["page_id"]: r for r in wrappers.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[0]["text"] == "\n".join(["t"] * 20_000) and got[2]["text"] == "x"
+    assert time.perf_counter() - began < 60
+
+
+def test_partitions_and_parts_make_no_difference(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet").select(wrappers.host_of(F.col("url")).alias("host"), "html")
+    made = [{tuple(r) for r in wrappers.wrappers(x).collect()} for x in (df.coalesce(1), df.repartition(7, "html"), df.orderBy(F.col("html").desc()).coalesce(1))]
+    assert made[0] == made[1] == made[2]
+    # few shapes to a task: pages are still accepted, or content as a whole
+    whole = {r["host"]: r["wrapper"] for r in wrappers.wrappers(df, 3).collect()}
+    assert set(whole) == {r[0] for r in made[0]}
+    accepted = [wrappers.Wrapper(whole[r["host"]]).slots(wrappers.tag_names(r["html"])) is not None for r in df.collect()]
+    assert sum(accepted) > 0.9 * len(accepted)
 
 
 def test_tokens():
