@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,17 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one that goes with the process, but only if all tasks run in this machine."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="quillrank-")
-    return _own
+        _own = tempfile.mkdtemp(prefix="quillrank-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return "file://" + _own
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -28,6 +33,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` wrote, once nothing will be computed from it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(file)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -64,11 +64,34 @@ def simhash_brute(docs):
     return {i: find(i) for i in ids if find(i) != i}
 
 
-@pytest.mark.parametrize("split_rows", [1_000_000, 4])
-def test_simhash_is_brute_force(spark, split_rows):
+def links_brute(docs):
+    """{doc: number of other signatures within the distance}."""
+    ids = sorted(docs)
+    data, offsets = text_buffers(pa.array([docs[i].lower() for i in ids]))
+    sig, size = simhash.signatures_of(data, offsets)
+    kinds = {(int(a), int(b), int(n)) for (a, b), n in zip(sig, size) if n}
+    near = lambda x, y: x != y and (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= simhash.MAX_BITS and min(x[2], y[2]) >= simhash.MIN_RATIO * max(x[2], y[2])
+    return {i: sum(near((int(a), int(b), int(n)), x) for x in kinds) for i, (a, b), n in zip(ids, sig, size)}
+
+
+@pytest.mark.parametrize(("split_rows", "bands"), [(1_000_000, None), (40, None), (4, 8), (4, 6), (30, 5), (30, 4), (1_000_000, 4)])
+def test_simhash_is_brute_force(spark, split_rows, bands):
     docs = corpus()
-    got = {r["doc_id"]: r["duplicate_of"] for r in simhash.near_duplicates(frame(spark, list(docs.items()), True), split_rows=split_rows).collect()}
-    assert got == simhash_brute(docs) and len(got) >= 30
+    rows = simhash.classes(frame(spark, list(docs.items()), True), split_rows=split_rows, bands=bands).collect()
+    root, links = simhash_brute(docs), links_brute(docs)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == root | {i: i for i in root.values()} and len(rows) == len({r["doc_id"] for r in rows}) and len(root) >= 30
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {r["doc_id"]: links[r["doc_id"]] for r in rows}
+
+
+def test_bands_are_chosen_by_work():
+    assert [simhash.bands_for(n, simhash.MAX_BITS) for n in (0, 1000, 100_000)] == [8, 8, 8]
+    assert simhash.bands_for(10**8, simhash.MAX_BITS) < 8
+    for bands in simhash.BANDS:
+        edges = simhash.edges_of(bands)
+        budget = simhash.MAX_BITS // bands
+        assert edges[0][0] == 0 and edges[-1][1] == 128 and bands * (budget + 1) > simhash.MAX_BITS
+        # copies of a row, own and guest
+        assert 2 * sum(len(simhash.pieces_of(lo, hi, budget, 1)) for lo, hi in edges) <= 50
 
 
 def test_signature_is_a_majority():
@@ -81,15 +104,17 @@ def test_trie_pairs_are_all_pairs():
     rnd = np.random.default_rng(0)
     values = np.unique(rnd.integers(0, 1 << 10, 200))
     for budget in (0, 1, 2):
-        got = {(int(a), int(b)) for p, q in simhash.trie_pairs(values, budget, 10, 50) for a, b in zip(np.minimum(p, q), np.maximum(p, q))}
+        got = [(int(values[a]), int(values[b])) for p, q in simhash.trie_pairs(values, budget, 10, 50) for a, b in zip(p, q)]
+        assert len(got) == len(set(got))
+        got = set(got)
         assert got == {(int(a), int(b)) for a in values for b in values if a <= b and int(a ^ b).bit_count() <= budget}
 
 
 def test_simhash_edges(spark):
     long = " ".join(prose(random.Random(3), 30_000, 9000))
-    rows = [(5, "same old words here"), (2, "same old words here"), (2, "same old words here"), (None, "same old words here"), (7, None), (8, ""), (9, "..."), (10, "..."), (11, long), (12, long + " end")]
+    rows = [(5, "same old words here"), (2, "same old words here"), (2, "same old words here"), (None, "same old words here"), (7, None), (8, ""), (9, "..."), (10, "..."), (11, long), (12, long + " end"), (20, "alone twice"), (20, "alone twice"), (31, "one text of two under an id"), (31, "and the other text of that id there"), (30, "one text of two under an id"), (32, "and the other text of that id there")]
     got = {(r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
-    assert got == {(5, 2), (12, 11)}
+    assert got == {(5, 2), (12, 11), (31, 30), (32, 30)}
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
