@@ -8,10 +8,12 @@ exactly the words that lie in a stretch of ``min_words`` words which another doc
 
 Reference blocks are made by content, so that a document need not be held against blocks that can have no long factor for
 it: every stretch of ``min_words`` words is led by the least hash of its runs of ``ANCHOR`` words (its anchor), and equal stretches
-have equal anchors. Neighbouring stretches with one anchor are a piece. The pieces with an anchor form a reference block and are factored
-against all of it. Only anchors of two documents or more go on, and equal pieces are factored once, so a document with
-thousands of copies costs as much as one. What moves for every anchor is five numbers; texts move once, those of documents with
-pieces to factor.
+have equal anchors. Neighbouring stretches with one anchor are a piece, and the pieces with an anchor form a reference block, indexed by its suffixes.
+So the longest match of ``min_words`` words or more at a place of a document is found in the block of its anchor, up to the end of the piece; all
+blocks of a document are looked up, and its matches are brought together for the parse from its first word to its last. Only anchors of
+two documents or more go on, and equal pieces are looked up once, so a document with
+thousands of copies costs as much as one: a piece that equals another document's, by a 64-bit hash of its words, is a match to its end. What moves for
+every anchor is five numbers; texts move once, those of documents with pieces that differ from all others of their anchor.
 
 Words are runs of letters, digits and non-ASCII characters in small letters, each compared as a 32-bit hash.
 """
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import _tables, mix64, slices, spread, text_buffers, words
@@ -164,7 +166,7 @@ def factor(match: np.ndarray, begins: np.ndarray, sizes: np.ndarray, min_words:
 
 
 def _factored(key: tuple, t: pa.Table, min_words: int, part_words: int) -> pa.Table:
-    """Duplicate stretches of the pieces of a bucket of reference blocks, as runs (anchor, piece, from, to)."""
+    """Matches in a bucket of reference blocks, as steps (anchor, piece, a, b): at place a of the piece the longest match with other documents reaches to b."""
     anchor, piece = t.column("anchor").to_numpy(), t.column("piece").to_numpy()
     owner = t.column("owner").to_numpy(zero_copy_only=False)
     several = t.column("several").to_numpy(zero_copy_only=False)
@@ -194,14 +196,42 @@ def _factored(key: tuple, t: pa.Table, min_words: int, part_words: int) -> pa.Ta
             part = np.cumsum(sizes[rows]) - sizes[rows]
             places = spread(begins[rows], sizes[rows])
             match[places] = np.maximum(match[places], match_lengths(symbols[places], part, sizes[rows], owner[rows]))
-    found = np.append(factor(match, begins, sizes, min_words), False)
-    # a piece's last min_words - 1 words begin no stretch, so runs of found places never reach the next piece
-    first = np.flatnonzero(found & ~np.r_[False, found[:-1]])
-    last = np.flatnonzero(found & ~np.r_[found[1:], False])
-    own = np.searchsorted(begins, first, side="right") - 1
-    keep = ~several[own]
-    own, first, last = own[keep], first[keep], last[keep]
-    return pa.table({"anchor": anchor[own], "piece": piece[own], "a": (first - begins[own]).astype(np.int32), "b": (last - begins[own] + min_words).astype(np.int32)})
+    # a place matters where its match reaches min_words, and begins a step where it reaches further than the place before
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    long = (match >= min_words) & ~several[own]
+    reach = np.arange(len(match)) + match
+    first = np.flatnonzero(long & ~(np.r_[False, long[:-1]] & (reach == np.r_[-1, reach[:-1]])))
+    own = own[first]
+    return pa.table({"anchor": anchor[own], "piece": piece[own], "a": (first - begins[own]).astype(np.int32), "b": (reach[first] - begins[own]).astype(np.int32)})
+
+
+def _parsed(min_words: int):
+    """Documents with their steps (lo, hi: a match at lo reaches to hi) factored greedily, as the runs of duplicate words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = batch.column(1)
+            at = steps.offsets.to_numpy()
+            at = at - at[0]
+            lo, hi = (steps.flatten().field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+            size = np.maximum.reduceat(hi, at[:-1])
+            for a, b in slices(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
+                begins = np.cumsum(size[a:b]) - size[a:b]
+                part = slice(at[a], at[b])
+                base = np.repeat(begins, np.diff(at[a : b + 1]))
+                reach = np.zeros(int(size[a:b].sum()), np.int64)
+                np.maximum.at(reach, base + lo[part], base + hi[part])
+                # a match at a place goes on at the next; none reaches beyond its document
+                match = np.maximum(np.maximum.accumulate(reach) - np.arange(len(reach)), 0)
+                found = np.flatnonzero(factor(match, begins, size[a:b], min_words))
+                owner = np.searchsorted(begins, found, side="right") - 1
+                new = np.ones(len(found), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (found[1:] > found[:-1] + min_words)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(found)) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + owner[first])), pa.array(found[first] - begins[owner[first]]), pa.array(found[last] - found[first] + min_words)], ["doc_id", "first_word", "n_words"])
+
+    return run
 
 
 def _content_batches(min_words: int):
@@ -234,7 +264,8 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: i
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. All documents with a passage are named, the first too.
     Words count from 0. A passage repeated in one document alone is none. Null texts, null ids and texts of fewer words give no rows;
-    rows that share a doc_id count as one document, and rows with the same id and different texts give the runs of each.
+    rows that share a doc_id count as one document, and rows with the same id and different texts give the runs of each (joined where they
+    touch). Very long texts are parsed whole; an empty table gives no rows.
     Ties can't arise: the result depends on the words alone.
     """
     if not 0 < anchor_words <= min_words:
@@ -253,14 +284,13 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: i
     contents = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_content_batches(min_words), "anchor long, piece long, owner long, several boolean, words binary")
     buckets = max(1, -(-(todo.agg(F.sum("n"), F.count("*")).first()[0] or 0) * 3 // part_words))
     found = contents.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInArrow(lambda key, t: _factored(key, t, min_words, part_words), "anchor long, piece long, a int, b int")
-    spans = pieces.join(whole.unionByName(found), ["anchor", "piece"]).select("doc_id", (F.col("first") + F.col("a")).alias("lo"), (F.col("first") + F.col("b")).alias("hi")).distinct()
-    by = Window.partitionBy("doc_id").orderBy("lo", "hi")
-    apart = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = spans.withColumn("new", apart.cast("long")).withColumn("run", F.sum("new").over(by))
-    return runs.groupBy("doc_id", "run").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") - F.min("lo")).cast("long").alias("n_words")).drop("run")
+    steps = pieces.join(whole.unionByName(found), ["anchor", "piece"]).select("doc_id", (F.col("first") + F.col("a")).alias("lo"), (F.col("first") + F.col("b")).alias("hi"))
+    held = steps.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("steps"))
+    return held.mapInArrow(_parsed(min_words), "doc_id long, first_word long, n_words long")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicate passages of ``documents``; see ``duplicate_spans`` for nulls, empty and long texts, ties and repeated rows."""
     return duplicate_spans(table(spark, sf_dir, "documents"))
 
 
