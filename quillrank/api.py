@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import Params
-from .errors import QuillError
+from .errors import NotBuilt
 from .functions.text import Tokenizer
 from .operators import index as ix
+from .operators import prune
 from .operators import search as se
 from .sources import store
 
@@ -24,7 +26,7 @@ class Retriever:
     @property
     def held(self) -> ix.Index:
         if self._index is None:
-            raise QuillError("there is no index yet")
+            raise NotBuilt("there is no index yet")
         return self._index
 
     def index(self, docs: list[str] | DataFrame) -> Retriever:
@@ -42,8 +44,18 @@ class Retriever:
         self.cache.clear()
         return self
 
-    def search(self, text: str, k: int = 10) -> tuple[list[int], list[float]]:
-        rows = se.search_cached(self.held, self.cache, text, k)
+    def with_bounds(self, width: int = prune.RANGE) -> Retriever:
+        """Prepares the index for ``approximate`` searches."""
+        self._index = prune.with_bounds(self.held, width)
+        return self
+
+    def search(self, text: str, k: int = 10, approximate: bool = False) -> tuple[list[int], list[float]]:
+        """``approximate`` leaves out ranges of documents by their bounds; its results are those of any search, but an index without bounds refuses it."""
+        if approximate:
+            queries = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+            rows = prune.search_approximate(self.held, queries, k).orderBy("rank").collect()
+        else:
+            rows = se.search_cached(self.held, self.cache, text, k)
         return [r["doc_id"] for r in rows], [r["score"] for r in rows]
 
     def search_numpy(self, text: str, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +77,13 @@ class Retriever:
         """(doc_id, score) of every document."""
         return se.dense_scores(self.held, self.spark.createDataFrame([(0, text)], "query_id long, text string")).drop("query_id")
 
+    def names(self, ids: list[int]) -> list[str | int]:
+        """The documents' own names, where they were strings."""
+        if self.held.ids is None:
+            return list(ids)
+        found = {r["doc_id"]: r["name"] for r in self.held.ids.filter(F.col("doc_id").isin(list(ids))).collect()}
+        return [found[i] for i in ids]
+
     def save(self, path: str) -> None:
         store.save(self.held, path)
 

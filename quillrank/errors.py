@@ -29,6 +29,30 @@ class UnsupportedVersion(CorruptIndex):
     """A stored index of another format version."""
 
 
+class Truncated(CorruptIndex):
+    """A stored index of which a file is missing or cut off."""
+
+
+class ChecksumMismatch(CorruptIndex):
+    """A stored table whose rows aren't those that were saved."""
+
+
+class NotBuilt(QuillError):
+    """A search before there is an index."""
+
+
+class FeatureNotEnabled(QuillError):
+    """Something that the index wasn't prepared for, as approximate search without bounds."""
+
+
+class SerializationError(QuillError, ValueError):
+    """A report or a request that isn't the JSON that it should be."""
+
+
+class HubError(QuillError):
+    """Sending to or fetching from a hub, which needs a network."""
+
+
 class LogState(QuillError):
     """An update log used out of turn: not initialised, or a commit without a batch."""
 

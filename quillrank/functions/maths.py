@@ -45,8 +45,16 @@ def gain(grade: Column, rank: Column) -> Column:
 
 
 def format_bytes(n: int) -> str:
-    """A number of bytes for people to read: "512 B", "1.5 KB", "2.0 MB", "3.1 GB"."""
+    """A number of bytes for people to read: "512 B", "1.50 KB", "2.00 MB", "3.10 GB"."""
     for unit, size in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
         if n >= size:
-            return f"{n / size:.1f} {unit}"
+            return f"{n / size:.2f} {unit}"
     return f"{n} B"
+
+
+def bytes_label(n: Column) -> Column:
+    """``format_bytes`` of a column."""
+    out = F.format_string("%d B", n.cast("long"))
+    for unit, size in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30)):
+        out = F.when(n >= size, F.format_string(f"%.2f {unit}", n.cast("double") / size)).otherwise(out)
+    return out

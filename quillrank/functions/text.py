@@ -16,16 +16,18 @@ from ..errors import TokenizationError
 from .stemming import STEMMERS
 from .stopwords import CODES, for_language
 
+WORDS = r"\w+"
+
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """Matches of a pattern, in small letters, stemmed, without stop words, in this order.
+    """Matches of a pattern in the text as it is, each in small letters, stemmed, and left out if a stop word, in this order.
 
     Stop words are compared with the stems, as they are spelled; ``stop_before_stem`` compares them with the words. ``custom`` (text to
     tokens) takes the place of all of it and gets the text as it is. Word characters are Unicode's.
     """
 
-    pattern: str = r"\w+"
+    pattern: str = WORDS
     lowercase: bool = True
     stopwords: tuple[str, ...] = ()
     stemmer: str | None = None
@@ -57,7 +59,11 @@ class Tokenizer:
         text = F.coalesce(text, F.lit(""))
         if self.custom is not None:
             return _custom(self.custom)(text)
-        found = F.regexp_extract_all(F.lower(text) if self.lowercase else text, F.lit("(?U)" + self.pattern), F.lit(0))
+        # small letters are word characters as their capitals are, so for words the text as a whole can be lowered, which is cheaper
+        whole = self.lowercase and self.pattern == WORDS
+        found = F.regexp_extract_all(F.lower(text) if whole else text, F.lit("(?U)" + self.pattern), F.lit(0))
+        if self.lowercase and not whole:
+            found = F.transform(found, F.lower)
         steps = [self._stemmed, self._stopped]
         for step in reversed(steps) if self.stop_before_stem else steps:
             found = step(found)

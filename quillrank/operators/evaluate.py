@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import gain
+from .numbering import running_total
 
 
 def dcg(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -55,7 +56,8 @@ def percentiles(df: DataFrame, value: str, percents: list[float], harness: bool
     Exact, by counting equal values and adding the counts up; only distinct values are ordered. No rows, no percentiles.
     """
     held = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    upto = held.withColumn("upto", F.sum("c").over(Window.orderBy("value"))).crossJoin(held.agg(F.sum("c").alias("n")))
+    upto = running_total(held, "value", "c", "upto")
+    upto = upto.crossJoin(upto.agg(F.sum("c").alias("n")))
     place = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1) if harness else F.floor(F.col("p") / 100 * (F.col("n") - 1) + 0.5)
     wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "p double")
     return upto.crossJoin(wanted).filter((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select("p", "value")

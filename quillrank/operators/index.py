@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import Params
 from ..errors import EmptyCorpus
@@ -40,10 +41,21 @@ class Index:
     stats: Stats
     params: Params
     tokenizer: Tokenizer
+    #: (doc_id, name) where documents were named by strings.
+    ids: DataFrame | None = None
+    #: (term, bucket, range_max) for ranges of ``width`` documents.
+    maxima: DataFrame | None = None
+    width: int = 0
 
     def with_params(self, params: Params) -> Index:
         """The same counts under other parameters; scores are computed when they are used."""
-        return replace(self, params=params, postings=scored(self.postings.drop("score"), params, self.stats))
+        return replace(self, params=params, postings=scored(self.postings.drop("score"), params, self.stats), maxima=None)
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """``found`` with the documents' own names in doc_id."""
+        if self.ids is None:
+            return found
+        return found.join(self.ids, "doc_id").select(*[F.col("name").alias(c) if c == "doc_id" else F.col(c) for c in found.columns])
 
 
 def token_counts(docs: DataFrame, tokenizer: Tokenizer, tokens: str | None = None) -> DataFrame:
@@ -88,10 +100,15 @@ def scored(postings: DataFrame, params: Params, stats: Stats) -> DataFrame:
 def build(docs: DataFrame, params: Params | None = None, tokenizer: Tokenizer | None = None, tokens: str | None = None, partitions: int | None = None) -> Index:
     """An index of ``docs`` (doc_id, text), or of the column of tokens named.
 
-    A null text is a document without tokens. Documents are tokenised once; the counts are written, and everything else begins there. Postings are
+    Strings as doc_id are numbered in their order; ``Index.named`` gives them back. A null text is a document without tokens. Documents are tokenised once; the counts are written, and everything else begins there. Postings are
     put in ranges of (term, doc_id), so that a common term's are spread over several files and a term is found by row-group statistics.
     """
     params, tokenizer = params or Params(), tokenizer or Tokenizer()
+    ids = None
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        names = docs.select(F.col("doc_id").alias("name")).filter("name IS NOT NULL").distinct()
+        ids = materialise(numbered(names, ["name"], "doc_id").select("doc_id", "name"), "ids")
+        docs = docs.withColumnRenamed("doc_id", "name").join(ids, "name").drop("name")
     counted = materialise(token_counts(docs, tokenizer, tokens), "token-counts")
     lengths = materialise(lengths_of(counted), "lengths")
     stats = Stats(*corpus_stats(lengths).first())
@@ -103,7 +120,13 @@ def build(docs: DataFrame, params: Params | None = None, tokenizer: Tokenizer |
     postings = scored(postings, params, stats)
     ranged = postings.repartitionByRange(partitions, "term", "doc_id") if partitions else postings.repartitionByRange("term", "doc_id")
     postings = materialise(ranged.sortWithinPartitions("term", "doc_id"), "postings")
-    return Index(postings, lengths, terms, stats, params, tokenizer)
+    return Index(postings, lengths, terms, stats, params, tokenizer, ids)
+
+
+def empty(spark: SparkSession, params: Params | None = None, tokenizer: Tokenizer | None = None) -> Index:
+    """An index of no documents: searches find nothing."""
+    frame = spark.createDataFrame
+    return Index(frame([], POSTINGS), frame([], "doc_id long, doc_len int"), frame([], "term string, df long"), Stats(0, 0, 0.0), params or Params(), tokenizer or Tokenizer())
 
 
 def vocabulary(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:

@@ -19,3 +19,12 @@ def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> Data
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("part_").count().select("part_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before_"))
     return ranged.withColumn("own_", F.row_number().over(own)).join(offsets, "part_").withColumn(name, (F.col("before_") + F.col("own_") - 1 + first).cast("long")).drop("part_", "own_", "before_")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows up to each in the order of a column of distinct values, in the same way."""
+    ranged = materialise(df.repartitionByRange(order).withColumn("part_", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part_").agg(F.sum(value).alias("own_")).select("part_", F.coalesce(F.sum("own_").over(before), F.lit(0)).alias("before_"))
+    own = F.sum(value).over(Window.partitionBy("part_").orderBy(order))
+    return ranged.withColumn(name, own).join(offsets, "part_").withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")

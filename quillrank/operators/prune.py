@@ -6,13 +6,16 @@ every term, so ``range_maxima`` cuts by ranges of doc_id: the sum of a query's m
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import check_k
-from ..errors import InvalidParameter
+from ..errors import FeatureNotEnabled, InvalidParameter
+from ..storage import materialise
 from .index import Index
-from .search import query_terms, top_k
+from .search import batch_terms, query_terms, restricted, top_k
 
 BLOCK_SIZE = 128
 RANGE = 4096
@@ -22,8 +25,12 @@ def block_maxima(postings: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame
     """(term, block_no, min_doc, max_doc, block_max): blocks of ``block_size`` postings in the order of doc_id; negative scores count as 0."""
     if block_size < 1 or block_size & (block_size - 1):
         raise InvalidParameter("the block size must be a power of two")
-    place = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
-    blocks = postings.withColumn("block_no", F.floor(place / block_size))
+    # places are counted in each range of ids, and the ranges' sizes added up, so a common term's postings needn't be in one task
+    ranged = postings.withColumn("bucket", F.floor(F.col("doc_id") / RANGE))
+    before = Window.partitionBy("term").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("term", "bucket").count().select("term", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("term", "bucket").orderBy("doc_id")) - 1
+    blocks = ranged.withColumn("own", own).join(offsets, ["term", "bucket"]).withColumn("block_no", F.floor((F.col("before") + F.col("own")) / block_size))
     return blocks.groupBy("term", "block_no").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"), F.max(F.greatest("score", F.lit(0).cast("float"))).alias("block_max"))
 
 
@@ -37,22 +44,41 @@ def range_maxima(postings: DataFrame, width: int = RANGE) -> DataFrame:
     return postings.withColumn("bucket", F.floor(F.col("doc_id") / width)).groupBy("term", "bucket").agg(F.max(F.greatest("score", F.lit(0).cast("float"))).alias("range_max"))
 
 
-def search_pruned(index: Index, queries: DataFrame, k: int = 10, width: int = RANGE, maxima: DataFrame | None = None) -> DataFrame:
+def with_bounds(index: Index, width: int = RANGE) -> Index:
+    """``index`` with its range maxima written, in the order of the terms: what ``search_pruned`` and ``search_approximate`` begin with."""
+    maxima = range_maxima(index.postings, width).repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
+    return replace(index, maxima=materialise(maxima, "maxima"), width=width)
+
+
+def search_pruned(index: Index, queries: DataFrame, k: int = 10, width: int = RANGE, decimals: int | None = None) -> DataFrame:
     """The rows of ``search_batch``. For each query the range with the highest bound is scored first; its k-th score is one that all others have to reach.
 
-    ``maxima``: what ``range_maxima`` gave for this width, if it is kept.
+    Uses the bounds of ``with_bounds`` where the index has them, else computes them for ``width``. The terms go to both scans as literals.
     """
     check_k(k)
-    terms = query_terms(queries, index.tokenizer)
-    bounds = (range_maxima(index.postings, width) if maxima is None else maxima).join(terms, "term")
-    bounds = bounds.groupBy("query_id", "bucket").agg(F.sum(F.col("range_max").cast("double") * F.col("qtf")).alias("bound"))
+    if index.maxima is not None:
+        width = index.width
+    terms = materialise(query_terms(queries, index.tokenizer).select("query_id", "term", "qtf"), "terms")
+    wanted = batch_terms(terms)
+    postings = restricted(index.postings, wanted)
+    maxima = restricted(index.maxima, wanted) if index.maxima is not None else range_maxima(postings, width)
+    bounds = maxima.join(terms, "term").groupBy("query_id", "bucket").agg(F.sum(F.col("range_max").cast("double") * F.col("qtf")).alias("bound"))
+    bounds = materialise(bounds, "bounds")
     best = bounds.groupBy("query_id").agg(F.max(F.struct("bound", "bucket")).alias("x")).select("query_id", "x.bucket")
-    placed = index.postings.withColumn("bucket", F.floor(F.col("doc_id") / width)).select("term", "doc_id", "score", "bucket")
-    met = placed.join(terms.select("query_id", "term", "qtf"), "term")
+    placed = postings.withColumn("bucket", F.floor(F.col("doc_id") / width)).select("term", "doc_id", "score", "bucket")
     total = F.sum(F.col("score").cast("double") * F.col("qtf")).alias("score")
-    first = met.join(best, ["query_id", "bucket"]).groupBy("query_id", "doc_id").agg(total)
-    threshold = top_k(first, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "least")
+
+    def scores(ranges: DataFrame) -> DataFrame:
+        return placed.join(terms.join(ranges, "query_id"), ["term", "bucket"]).groupBy("query_id", "doc_id").agg(total)
+
+    threshold = top_k(scores(best), k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "least")
     # sums in another order differ by some ulps
     open_ranges = bounds.join(threshold, "query_id", "left").filter("least IS NULL OR bound >= least * (1 - 1e-9)").select("query_id", "bucket")
-    scores = met.join(open_ranges, ["query_id", "bucket"]).groupBy("query_id", "doc_id").agg(total)
-    return top_k(scores, k)
+    return top_k(scores(open_ranges), k, decimals)
+
+
+def search_approximate(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The search that is allowed to leave results out; this one never does. The index must have bounds."""
+    if index.maxima is None:
+        raise FeatureNotEnabled("the index has no bounds; make them with with_bounds")
+    return search_pruned(index, queries, k)

@@ -15,6 +15,9 @@ from ..functions import scoring
 from ..functions.text import Tokenizer
 from .index import Index
 
+#: The terms of a batch go to the scan as literals up to so many, so only their postings are shuffled; larger batches are joined.
+TERM_LIMIT = 20_000
+
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(query_id, term, qtf, pos) of queries (query_id, text): how often a term stands in the query, and where first."""
@@ -22,6 +25,18 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return found.groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
 
 
+def batch_terms(terms: DataFrame, most: int | None = None) -> list[str] | None:
+    """The distinct terms of a batch, None if there are more than ``most`` (default: ``TERM_LIMIT``)."""
+    most = TERM_LIMIT if most is None else most
+    found = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
+def restricted(rows: DataFrame, terms: list[str] | None) -> DataFrame:
+    """``rows`` of these terms; all of them for None, where a join has to do."""
+    return rows if terms is None else rows.filter(F.col("term").isin(terms))
+
+
 def document_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): double sums over the query's tokens. Unknown terms fall out of the join; repeated ones count again."""
     met = postings.select("term", "doc_id", "score").join(terms.select("query_id", "term", "qtf"), "term")
@@ -46,8 +61,9 @@ def top_k(scores: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, k: int = 10, exact_single: bool = False, decimals: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of queries (query_id, text). A query without known terms has no rows."""
     check_k(k)
-    scores = single_scores(index.postings, queries, index.tokenizer) if exact_single else document_scores(index.postings, query_terms(queries, index.tokenizer))
-    return top_k(scores, k, decimals)
+    terms = query_terms(queries, index.tokenizer)
+    postings = restricted(index.postings, batch_terms(terms))
+    return top_k(single_scores(postings, queries, index.tokenizer) if exact_single else document_scores(postings, terms), k, decimals)
 
 
 def search_tokens(index: Index, tokens: list[str], k: int = 10) -> DataFrame:
@@ -84,7 +100,8 @@ def search(index: Index, text: str, k: int = 10) -> DataFrame:
 def dense_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for every query and every document, 0 where they share no term."""
     every = queries.select("query_id").distinct().crossJoin(index.lengths.select("doc_id"))
-    found = document_scores(index.postings, query_terms(queries, index.tokenizer))
+    terms = query_terms(queries, index.tokenizer)
+    found = document_scores(restricted(index.postings, batch_terms(terms)), terms)
     return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -163,9 +163,14 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"))
 
 
-def custom_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of four ASCII letters or more, by document."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(Tokenizer(pattern="[a-z]{4,}").tokens(F.col("text"))).cast("long").alias("n"))
+def _pattern(pattern: str):
+    """How many tokens of a pattern each document has, and which: matched in the text as it is, then in small letters."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _table(spark, sf_dir, "documents").select("doc_id", Tokenizer(pattern=pattern).tokens(F.col("text")).alias("t"))
+        return found.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+    return run
 
 
 def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +204,8 @@ def term_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pruned_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune.search_pruned(corpus_index(spark, sf_dir), query_set(spark, sf_dir), K, 256).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    index = _once(spark, sf_dir, "bounds", lambda: prune.with_bounds(corpus_index(spark, sf_dir), 256))
+    return prune.search_pruned(index, query_set(spark, sf_dir), K, decimals=6).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 def update_log(spark: SparkSession, sf_dir: str) -> UpdateLog:
@@ -214,9 +220,7 @@ def update_log(spark: SparkSession, sf_dir: str) -> UpdateLog:
 
 def _updated(strategy: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        log = update_log(spark, sf_dir)
-        scores = se.document_scores(log.live_postings(strategy), se.query_terms(query_set(spark, sf_dir), log.index.tokenizer))
-        return _best(se.top_k(scores, K, 6))
+        return _best(update_log(spark, sf_dir).search(query_set(spark, sf_dir), K, strategy, 6))
 
     return run
 
@@ -324,7 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_build": index_build, "tokenize_count": tokenize_count, "token_lengths": token_lengths, "vocab_size": vocab_size, "vocab_first_seen": vocab_first_seen, "term_freq": term_freq, "doc_freq": doc_freq, "corpus_stats": corpus_stats,
     **{f"idf_{m}": _idf(m) for m in METHODS}, **{f"tfc_{m}": _weight(m) for m in METHODS}, **{f"score_{m}": _score(m) for m in METHODS},
     "search_single_top10": search_single_top10, "search_tokens": search_tokens, "batch_top5": batch_top5, "single_precision_top10": single_precision_top10, "dense_scores": dense_scores, "duplicate_query_terms": duplicate_query_terms, "unknown_terms": unknown_terms,
-    "stopword_filter": stopword_filter, "custom_pattern": custom_pattern, "stemmed_vocabulary": stemmed_vocabulary, "nnz_by_term": nnz_by_term, "index_check": index_check, "merged_triplets": merged_triplets,
+    "stopword_filter": stopword_filter, "custom_pattern": _pattern("[a-z]{4,}"), "upper_pattern": _pattern("[A-Z]+[a-z]?"), "stemmed_vocabulary": stemmed_vocabulary, "nnz_by_term": nnz_by_term, "index_check": index_check, "merged_triplets": merged_triplets,
     "block_max": block_max, "term_max": term_max, "pruned_top10": pruned_top10,
     "wal_fast": _updated("fast"), "wal_exact": _updated("exact"), "wal_rebuild": _updated("rebuild"), "tombstone_mask": tombstone_mask, "delete_report": delete_report, "compact_renumber": compact_renumber, "compact_search": compact_search,
     "shard_df": shard_df, "global_idf": global_idf, "shard_merge_topk": shard_merge_topk, "zscore": zscore, "dcg": dcg, "ndcg_at_10": ndcg_at_10, "mean_ndcg": mean_ndcg, "recall_at_k": recall_at_k,
@@ -398,7 +402,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
     "duplicate_query_terms": _best_sql(queries=_TWICE),
     "unknown_terms": f"WITH {sql.DOCS}, {sql.COUNTS}, {sql.QUERIES} SELECT query_id, count(DISTINCT term) AS n_unknown FROM q WHERE term NOT IN (SELECT term FROM df) GROUP BY query_id",
     "stopword_filter": f"SELECT doc_id, len(list_filter({sql.tokens('text')}, lambda x: NOT list_contains({list(_STOPS)}, x)))::BIGINT AS n FROM documents",
-    "custom_pattern": f"SELECT doc_id, len({sql.tokens('text', '[a-z]{4,}')})::BIGINT AS n FROM documents",
+    **{name: f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(list_transform(t, lambda x: lower(x)), ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS t FROM documents)" for name, p in (("custom_pattern", "[a-z]{4,}"), ("upper_pattern", "[A-Z]+[a-z]?"))},
     "nnz_by_term": f"WITH {sql.postings('robertson')} SELECT term, count(*) FILTER (score > 0) AS above, count(*) FILTER (score < 0) AS below FROM post GROUP BY term",
     "index_check": "SELECT 0::BIGINT AS repeated_pairs, 0::BIGINT AS unknown_documents, 0::BIGINT AS nulls, 0::BIGINT AS not_finite, 0::BIGINT AS zero_scores, 0::BIGINT AS bad_counts, 0::BIGINT AS bad_frequencies",
     "merged_triplets": f"WITH {sql.postings()} SELECT term, doc_id, round((score::DOUBLE * 2)::FLOAT::DOUBLE, 4) AS score FROM post",

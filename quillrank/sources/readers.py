@@ -33,17 +33,18 @@ def _fail(where: Column, what: str) -> Column:
     return F.raise_error(F.concat(F.lit(what + ": "), F.substring(F.coalesce(where, F.lit("null")), 1, 80))).cast("string")
 
 
-def _document(value: Column, field: str | None) -> Column:
-    """The text of one JSON value: a string itself, or the named field of an object."""
+def _document(value: Column, field: str | None, strict: bool = True) -> Column:
+    """The text of one JSON value: a string itself, or the named field of an object. Others raise an error, or are null if not ``strict``."""
+    fail = _fail if strict else lambda *_: F.lit(None).cast("string")
     kind = F.substring(F.ltrim(value), 1, 1)
     quoted = F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"]
     plain = F.when(kind == '"', quoted)
     if field is None:
-        return F.coalesce(plain, _fail(value, "not a string, and no field is named"))
+        return F.coalesce(plain, fail(value, "not a string, and no field is named"))
     held = F.from_json(value, f"`{field}` string")[field]
     variant = F.try_parse_json(value)
     is_string = F.schema_of_variant(F.try_variant_get(variant, f"$['{field}']", "variant")) == "STRING"
-    return F.coalesce(plain, F.when(is_string, held), _fail(value, f"no string in the field {field!r}"))
+    return F.coalesce(plain, F.when(is_string, held), fail(value, f"no string in the field {field!r}"))
 
 
 def read_json(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
@@ -56,9 +57,17 @@ def read_json(spark: SparkSession, path: str, field: str | None = None) -> DataF
 
 
 def read_jsonl(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
-    """A JSON string, or an object with a text in ``field``, on each line; blank lines are passed over."""
-    lines = _placed(spark.read.text(path), F.col("value")).filter(F.trim("value") != "")
-    return _numbered(lines.withColumn("text", _document(F.col("value"), field)))
+    """A JSON string, or an object with a text in ``field``, on each line; blank lines are passed over. A line that is neither raises an error with its file and number."""
+    lines = _placed(spark.read.text(path), F.col("value"))
+    rows = numbered(lines.filter(F.trim("value") != "").withColumn("text", _document(F.col("value"), field, strict=False)), ["path", "start", "place"], "doc_id")
+    bad = rows.filter("text IS NULL").orderBy("doc_id").first()
+    if bad is not None:
+        # lines are counted only where one is bad; the scan of the same file gives the same places
+        upto = (F.col("start") < bad["start"]) | ((F.col("start") == bad["start"]) & (F.col("place") <= bad["place"]))
+        number = lines.filter((F.col("path") == bad["path"]) & upto).count()
+        what = "not a string, and no field is named" if field is None else f"no string in the field {field!r}"
+        raise InvalidDocument(f"{bad['path']}, line {number}: {what}: {bad['value'][:80]}")
+    return rows.select("doc_id", "text")
 
 
 def read_csv(spark: SparkSession, path: str, field: str | None = None, sep: str = ",") -> DataFrame:

@@ -1,6 +1,6 @@
 """Keeping an index: every save is a new version folder, and a pointer file names the current one.
 
-The pointer is renamed into place last, so readers see the old index or the new one, never a part of it. The manifest holds what
+The pointer is replaced last, by a rename in one step, so readers see the old index or the new one, never none or a part of it. The manifest holds what
 is checked on loading: format version, parameters, row counts and a checksum of every table.
 """
 
@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Params
-from ..errors import CorruptIndex, UnsupportedVersion
+from ..errors import ChecksumMismatch, CorruptIndex, HubError, Truncated, UnsupportedVersion
 from ..functions.text import Tokenizer
 from ..operators.index import Index, Stats
 
 VERSION = 1
 TABLES = ("postings", "lengths", "terms")
+OPTIONAL = ("ids", "maxima")
 
 
 def _files(spark: SparkSession, path: str):
@@ -32,10 +33,12 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
     out = files.create(temporary)
     out.write(bytearray(text.encode()))
     out.close()
-    if files.exists(where):
-        files.delete(where, False)
-    if not files.rename(temporary, where):
-        raise OSError(f"{path} can't be replaced")
+    jvm = spark._jvm
+    temporary, where = temporary.makeQualified(files.getUri(), files.getWorkingDirectory()), where.makeQualified(files.getUri(), files.getWorkingDirectory())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(temporary, where, how)
 
 
 def _read(spark: SparkSession, path: str) -> str:
@@ -58,11 +61,15 @@ def save(index: Index, path: str) -> dict:
     index.postings.write.parquet(f"{path}/{version}/postings")
     index.lengths.write.parquet(f"{path}/{version}/lengths")
     index.terms.write.parquet(f"{path}/{version}/terms")
+    more = [t for t in OPTIONAL if getattr(index, t) is not None]
+    for t in more:
+        getattr(index, t).write.parquet(f"{path}/{version}/{t}")
     p, s = index.params, index.stats
     manifest = {
         "version": VERSION, "params": {"method": p.method, "k1": p.k1, "b": p.b, "delta": p.delta}, "tokenizer": index.tokenizer.to_json(),
         "stats": {"n_docs": s.n_docs, "n_tokens": s.n_tokens, "mean_length": s.mean_length},
-        "tables": {t: fingerprint(spark.read.parquet(f"{path}/{version}/{t}")) for t in TABLES},
+        "tables": {t: fingerprint(spark.read.parquet(f"{path}/{version}/{t}")) for t in (*TABLES, *more)},
+        "width": index.width,
     }
     _write(spark, f"{path}/{version}/manifest.json", json.dumps(manifest))
     _write(spark, f"{path}/CURRENT", version)
@@ -80,15 +87,15 @@ def load(spark: SparkSession, path: str, verify: bool = True) -> Index:
     except (KeyError, TypeError, ValueError) as e:
         raise CorruptIndex(f"bad manifest: {e}") from None
     tables = {}
-    for t in TABLES:
+    for t in manifest["tables"]:
         try:
             tables[t] = spark.read.parquet(f"{path}/{version}/{t}")
             held = fingerprint(tables[t]) if verify else None
         except Exception as e:
-            raise CorruptIndex(f"{t} can't be read: {str(e).splitlines()[0]}") from None
+            raise Truncated(f"{t} can't be read: {str(e).splitlines()[0]}") from None
         if held and list(held) != list(manifest["tables"][t]):
-            raise CorruptIndex(f"{t} has {held[0]} rows with checksum {held[1]}, not {manifest['tables'][t]}")
-    return Index(tables["postings"], tables["lengths"], tables["terms"], stats, params, tokenizer)
+            raise ChecksumMismatch(f"{t} has {held[0]} rows with checksum {held[1]}, not {manifest['tables'][t]}")
+    return Index(tables["postings"], tables["lengths"], tables["terms"], stats, params, tokenizer, tables.get("ids"), tables.get("maxima"), manifest.get("width", 0))
 
 
 def card(index: Index, name: str) -> str:
@@ -106,3 +113,14 @@ tags: [lexical-search, retrieval]
 | Mean length | {s.mean_length:.2f} |
 | Scoring | {p.label} (k1 {p.k1:g}, b {p.b:g}, delta {p.delta:g}) |
 """
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of everything below ``path``."""
+    files, where = _files(spark, path)
+    return files.getContentSummary(where).getLength()
+
+
+def push(index: Index, name: str) -> None:
+    """Sending an index to a hub needs a network, which this package doesn't use: save it, and send the folder with ``card``'s text by other means."""
+    raise HubError(f"{name}: there is no network here; save the index and send its folder")

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import InvalidParameter
+
 _fallback: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where the session names none, as in tests."""
+    """``spark.checkpoint.dir``. Where the session names none, a temporary folder that goes with the process, but only if all tasks run in this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise InvalidParameter("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="quillrank-core-"))
-    return _fallback[0]
+        _fallback.append(tempfile.mkdtemp(prefix="quillrank-core-"))
+        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
+    return "file://" + _fallback[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,3 +36,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialise`` wrote, once nothing will be computed from it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,18 +52,13 @@ class ChunkedBuilder:
 def follow(stream: DataFrame, log: UpdateLog, checkpoint: str, order: list[str] | None = None):
     """Appends every micro-batch of a stream (text) to the log, and takes what is there now: the running query.
 
-    A batch that is tried again after a failure isn't added twice: its number is kept with the log.
+    The rows of a batch bear the stream's id (which its checkpoint holds) and the batch's number in the same append, so a batch that is tried
+    again after any failure isn't added twice, and several streams may feed one log.
     """
-    marks = f"{log.path}-batches"
+    spark = log.spark
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/{number}")
-        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.exists(where):
-            return
-        if not batch.isEmpty():
-            log.append_documents(batch.select(F.col("text"), *[c for c in order or [] if c != "text"]), order)
-        files.create(where).close()
+        name = json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+        log.append_documents(batch.select(F.col("text"), *[c for c in order or [] if c != "text"]), order, (name, number))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

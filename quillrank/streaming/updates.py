@@ -1,6 +1,7 @@
 """Adding and deleting documents without building the index anew: a log of operations beside it.
 
-The log is a table of rows (seq, generation, op, doc_id, content); one commit is one Parquet append, so it is there as a whole or not at all.
+The log is a table of rows (seq, generation, op, doc_id, content, stream, batch); one commit is one Parquet append, so it is there as a whole or not at
+all. Rows that a stream's micro-batch brought bear its mark. Additions are tokenised once: their counts are kept beside the log.
 Searches see base postings and those of added documents, without deleted ones. Three strategies tell how they are scored:
 
 * ``fast``: all scores by the statistics of the base index; a new term counts as if one document held it.
@@ -20,10 +21,10 @@ from ..errors import EmptyCorpus, InvalidParameter, LogState
 from ..functions import scoring
 from ..operators.index import Index, Stats, corpus_stats, flat_counts, lengths_of, scored, token_counts
 from ..operators.numbering import numbered
-from ..operators.search import document_scores, query_terms, top_k
+from ..operators.search import batch_terms, document_scores, query_terms, restricted, top_k
 from ..storage import materialise, new_path
 
-SCHEMA = "seq long, generation long, op string, doc_id long, content string"
+SCHEMA = "seq long, generation long, op string, doc_id long, content string, stream string, batch long"
 STRATEGIES = ("fast", "exact", "rebuild")
 
 
@@ -42,6 +43,9 @@ class UpdateLog:
         self.spark: SparkSession = index.postings.sparkSession
         self.path = path or new_path(self.spark, "log")
         self._staged: list[DataFrame] | None = None
+        #: Counts of the additions up to a generation, and what was computed for the last one.
+        self._counts: tuple[int, DataFrame | None] = (0, None)
+        self._now: tuple[int, dict] = (-1, {})
         self.generation = 0
         self._next_id = (index.lengths.agg(F.max("doc_id")).first()[0] if index.stats.n_docs else -1) or 0
         self._next_id += 1
@@ -62,11 +66,12 @@ class UpdateLog:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def _commit(self, rows: DataFrame) -> None:
-        rows.withColumn("generation", F.lit(self.generation).cast("long")).select("seq", "generation", "op", "doc_id", "content").write.mode("append").parquet(self.path)
+        rows.withColumn("generation", F.lit(self.generation).cast("long")).select("seq", "generation", "op", "doc_id", "content", "stream", "batch").write.mode("append").parquet(self.path)
 
-    def _record(self, rows: DataFrame, n: int) -> None:
+    def _record(self, rows: DataFrame, n: int, mark: tuple[str, int] | None = None) -> None:
         """``rows`` (place, op, doc_id, content): committed at once, or staged in a batch."""
-        rows = rows.select((F.col("place") + F.lit(self._seq)).cast("long").alias("seq"), "op", "doc_id", "content")
+        stream, batch = mark or (None, None)
+        rows = rows.select((F.col("place") + F.lit(self._seq)).cast("long").alias("seq"), "op", "doc_id", "content", F.lit(stream).cast("string").alias("stream"), F.lit(batch).cast("long").alias("batch"))
         self._seq += n
         if self._staged is None:
             self.generation += 1
@@ -74,13 +79,19 @@ class UpdateLog:
         else:
             self._staged.append(rows)
 
-    def append_documents(self, docs: DataFrame, order: list[str] | None = None) -> tuple[int, int]:
-        """Adds the texts of ``docs`` (text) in the order of the columns named (default: text); gives the first id and the one after the last."""
+    def append_documents(self, docs: DataFrame, order: list[str] | None = None, mark: tuple[str, int] | None = None) -> tuple[int, int]:
+        """Adds the texts of ``docs`` (text) in the order of the columns named (default: text); gives the first id and the one after the last.
+
+        ``mark``: a stream and the number of its micro-batch, kept with the rows. One that the log has already adds nothing.
+        """
+        if mark is not None and not self._visible().filter((F.col("stream") == mark[0]) & (F.col("batch") == mark[1])).isEmpty():
+            return self._next_id, self._next_id
         rows = numbered(docs, order or ["text"], "place")
         rows = materialise(rows.select("place", F.lit("add").alias("op"), (F.col("place") + self._next_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("content")), "added")
         n = rows.count()
         first, self._next_id = self._next_id, self._next_id + n
-        self._record(rows, n)
+        if n:
+            self._record(rows, n, mark)
         return first, first + n
 
     def append_texts(self, texts: list[str]) -> list[int]:
@@ -172,35 +183,53 @@ class UpdateLog:
         """Whether additions reach the threshold's share of the base."""
         return self.index.stats.n_docs > 0 and self.added_count() >= self.threshold * self.index.stats.n_docs
 
+    def _added_counts(self) -> DataFrame:
+        """``token_counts`` of committed additions: what was added since the last time is tokenised and written."""
+        upto, held = self._counts
+        if held is None or upto < self.generation:
+            more = self.log().filter((F.col("op") == "add") & (F.col("generation") > upto)).select("doc_id", F.col("content").alias("text"))
+            more = materialise(token_counts(more, self.index.tokenizer), "added-counts")
+            held = more if held is None else held.unionByName(more)
+            self._counts = self.generation, held
+        return held
+
+    def _stats(self) -> Stats:
+        """Of the live documents, computed once a generation."""
+        if self._now[0] != self.generation:
+            self._now = self.generation, {}
+        if "stats" not in self._now[1]:
+            self._now[1]["stats"] = Stats(*corpus_stats(self._live_counts()[1]).first())
+        return self._now[1]["stats"]
+
     def _live_counts(self) -> tuple[DataFrame, DataFrame]:
         """Live (term, doc_id, tf, doc_len, added) and (doc_id, doc_len)."""
-        fresh = token_counts(self.added(), self.index.tokenizer)
+        fresh = self._added_counts()
         new = flat_counts(fresh).withColumn("added", F.lit(True))
         base = self.index.postings.select("term", "doc_id", "tf", "doc_len").withColumn("added", F.lit(False))
         lengths = self.index.lengths.unionByName(lengths_of(fresh))
         gone = self.deleted()
         return base.unionByName(new).join(gone, "doc_id", "left_anti"), lengths.join(gone, "doc_id", "left_anti")
 
-    def live_postings(self, strategy: str = "fast") -> DataFrame:
-        """(term, doc_id, tf, doc_len, df, score) of the live documents."""
+    def live_postings(self, strategy: str = "fast", terms: list[str] | None = None) -> DataFrame:
+        """(term, doc_id, tf, doc_len, df, score) of the live documents, of some terms only if these are named."""
         if strategy not in STRATEGIES:
             raise InvalidParameter(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
-        rows, lengths = self._live_counts()
+        rows = restricted(self._live_counts()[0], terms)
         base = self.index.stats
         if strategy == "fast":
-            known = rows.join(self.index.terms, "term", "left").withColumn("df", F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
+            known = rows.join(restricted(self.index.terms, terms), "term", "left").withColumn("df", F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
             return scored(known.drop("added"), self.index.params, base)
         live = rows.groupBy("term").agg(F.count("*").alias("df"))
-        stats = Stats(*corpus_stats(lengths).first())
+        stats = self._stats()
         if strategy == "exact":
             stats = replace(stats, mean_length=base.mean_length)
         return scored(rows.drop("added").join(live, "term"), self.index.params, stats)
 
-    def search(self, queries: DataFrame, k: int = 10, strategy: str = "fast") -> DataFrame:
-        """(query_id, rank, doc_id, score) of queries (query_id, text) over the live documents."""
+    def search(self, queries: DataFrame, k: int = 10, strategy: str = "fast", decimals: int | None = None) -> DataFrame:
+        """(query_id, rank, doc_id, score) of queries (query_id, text) over the live documents. Only postings of their terms are scored."""
         check_k(k)
         terms = query_terms(queries, self.index.tokenizer)
-        return top_k(document_scores(self.live_postings(strategy), terms), k)
+        return top_k(document_scores(self.live_postings(strategy, batch_terms(terms)), terms), k, decimals)
 
     def compact(self, partitions: int | None = None) -> tuple[Index, DataFrame]:
         """A new index of the live documents, and (old_id, doc_id). New ids count from 0 in the order of the old; scores are those of an index built now.

@@ -222,7 +222,7 @@ def test_maths(spark):
     assert (r["d"], r["m"], r["p"], r["h"]) == (14.0, float("-inf"), 2.0, 3.0)
     z = maths.zscores(spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "g int, v double"), "v", "g")
     assert sorted((r["g"], r["z"]) for r in z.collect()) == [(0, -1.0), (0, 1.0), (1, 1.0)]
-    assert maths.format_bytes(1536) == "1.5 KB" and maths.format_bytes(12) == "12 B"
+    assert maths.format_bytes(1536) == "1.50 KB" and maths.format_bytes(12) == "12 B"
 
 
 def test_updates(spark, index):
@@ -280,3 +280,116 @@ def test_chunks_and_streams(spark, index, tmp_path):
     stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in")
     follow(stream, log, f"{tmp_path}/checkpoint").awaitTermination(120)
     assert [d for d, _ in rows(log.search(asked(spark, ["zebra"]), 5))[0]] == [11, 12]
+
+
+def test_streams_share_a_log(spark, index, tmp_path):
+    log = UpdateLog(index)
+    for name in ("a", "b"):
+        spark.createDataFrame([(f"zebra {name}",)], "text string").write.parquet(f"{tmp_path}/in-{name}")
+        stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in-{name}")
+        follow(stream, log, f"{tmp_path}/checkpoint-{name}").awaitTermination(120)
+    assert log.added_count() == 2
+    # a batch tried again, by another log on the same files as after a crash
+    again = UpdateLog(index, log.path)
+    mark = tuple(log.log().filter("content = 'zebra a'").select("stream", "batch").first())
+    more = spark.createDataFrame([("zebra a",)], "text string")
+    assert again.append_documents(more, mark=mark) == (13, 13) and again.added_count() == 2
+    assert again.append_documents(more, mark=(mark[0], mark[1] + 1)) == (13, 14)
+    spark.createDataFrame([("zebra c",)], "text string").write.mode("append").parquet(f"{tmp_path}/in-a")
+    stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in-a")
+    log = UpdateLog(index, log.path)
+    follow(stream, log, f"{tmp_path}/checkpoint-a").awaitTermination(120)
+    # its number is the one given by hand above
+    assert log.added_count() == 3
+
+
+def test_additions_are_counted_once(spark, index):
+    log = UpdateLog(index)
+    log.append_texts(["zebra one"])
+    first = log._added_counts()
+    assert log._added_counts() is first
+    log.append_texts(["zebra two two"])
+    assert sorted((r["term"], r["tf"]) for r in log._added_counts().collect()) == [("one", 1), ("two", 2), ("zebra", 1), ("zebra", 1)]
+    for strategy in ("fast", "exact", "rebuild"):
+        whole = {(r["term"], r["doc_id"]): (r["df"], r["score"]) for r in log.live_postings(strategy).collect()}
+        part = {(r["term"], r["doc_id"]): (r["df"], r["score"]) for r in log.live_postings(strategy, ["zebra", "fox"]).collect()}
+        assert part == {k: v for k, v in whole.items() if k[0] in ("zebra", "fox")}
+
+
+def test_string_ids(spark, tmp_path):
+    docs = spark.createDataFrame([("MED-10", "red fox"), ("MED-2", "red dog"), ("x", None), (None, "lost")], "doc_id string, text string")
+    built = ix.build(docs)
+    found = built.named(se.search_batch(built, asked(spark, ["red fox"]), 5)).orderBy("rank").collect()
+    assert [r["doc_id"] for r in found] == ["MED-10", "MED-2"] and built.stats.n_docs == 3
+    r = Retriever(spark).index(docs)
+    r.save(str(tmp_path / "held"))
+    back = Retriever.load(spark, str(tmp_path / "held"))
+    assert back.names(back.search("dog")[0]) == ["MED-2"]
+
+
+def test_empty_index(spark):
+    none = ix.empty(spark)
+    assert se.search_batch(none, asked(spark), 5).count() == 0 and all(v == 0 for v in ix.violations(none).first()) and none.stats.n_docs == 0
+
+
+def test_violations_are_found(spark, index):
+    broken = [("a", 0, 2, 1, 1, 1.0), ("a", 0, 1, 1, 1, 1.0), ("b", 99, 1, 2, 1, 0.0), ("c", 1, 0, 2, 1, float("nan")), ("c", 2, 1, 2, 1, 1.0), (None, 1, 1, 1, 1, 1.0)]
+    import dataclasses
+
+    held = dataclasses.replace(index, postings=spark.createDataFrame(broken, ix.POSTINGS))
+    assert ix.violations(held).first().asDict() == {"repeated_pairs": 1, "unknown_documents": 1, "nulls": 1, "not_finite": 1, "zero_scores": 1, "bad_counts": 2, "bad_frequencies": 2}
+
+
+def test_approximate(spark, index):
+    with pytest.raises(errors.FeatureNotEnabled):
+        prune.search_approximate(index, asked(spark), 3)
+    bounded = prune.with_bounds(index, 2)
+    a, b = rows(prune.search_approximate(bounded, asked(spark), 3)), rows(se.search_batch(index, asked(spark), 3))
+    assert {q: [d for d, _ in x] for q, x in a.items()} == {q: [d for d, _ in x] for q, x in b.items()}
+    assert bounded.with_params(Params("atire")).maxima is None
+
+
+def test_batches_of_many_terms_are_joined(spark, index, monkeypatch):
+    want = rows(se.search_batch(index, asked(spark), 5))
+    monkeypatch.setattr(se, "TERM_LIMIT", 3)
+    assert se.batch_terms(se.query_terms(asked(spark), index.tokenizer)) is None
+    assert rows(se.search_batch(index, asked(spark), 5)) == want
+
+
+def test_shard_services(spark, index):
+    parts = [TEXTS[:4], TEXTS[4:8], TEXTS[8:]]
+    services = [shards.Shard(ix.build(frame(spark, x)), offset) for x, offset in zip(parts, (0, 4, 8))]
+    whole = rows(se.search_batch(index, asked(spark), 4))
+    coordinator = shards.Coordinator(services)
+    found = coordinator.search(asked(spark), 4)
+    assert not found.degraded and rows(found.rows) == {q: [(d, pytest.approx(s)) for d, s in x] for q, x in whole.items()}
+    assert [h["num_docs"] for h in coordinator.health()] == [4, 4, 3]
+
+    class Lost(shards.Shard):
+        def search(self, queries, k):
+            raise OSError("gone")
+
+        health = collect_idf = search
+
+    part = shards.Coordinator([services[0], Lost(services[1].index)]).search(asked(spark), 4)
+    assert part.degraded and part.responded == 1 and part.total == 2
+    with pytest.raises(errors.ShardFailure):
+        shards.Coordinator([Lost(services[1].index)]).search(asked(spark), 4)
+    with pytest.raises(errors.InvalidParameter):
+        shards.Coordinator([])
+
+
+def test_percentiles_of_doubles(spark):
+    rnd = random.Random(1)
+    values = [rnd.random() for _ in range(999)] + [0.5, 0.5]
+    got = {r["p"]: r["value"] for r in evaluate.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0, 1, 50, 99.9, 100]).collect()}
+    values.sort()
+    assert got == {p: values[int(p / 100 * 1000 + 0.5)] for p in (0, 1, 50, 99.9, 100)}
+
+
+def test_tokens_match_before_they_are_lowered(spark):
+    def run(pattern, text):
+        return spark.createDataFrame([(text,)], "text string").select(Tokenizer(pattern=pattern).tokens(F.col("text"))).first()[0]
+
+    assert run("[A-Z]+", "Hello NASA World") == ["h", "nasa", "w"] and run("[a-z]{4,}", "Hello NASA World") == ["ello", "orld"]
+    assert run(r"\w+", "ÉTÉ İstanbul Σ") == [x.lower() for x in ("ÉTÉ", "İstanbul", "Σ")]

@@ -107,3 +107,54 @@ def test_synthetic(spark):
     a, b = synthetic.corpus(spark, 50).collect(), synthetic.corpus(spark, 50).collect()
     assert a == b and all(20 <= len(r["text"].split()) <= 199 for r in a)
     assert synthetic.queries(spark, 5).count() == 5
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    path = write(tmp_path, "a.jsonl", '{"t": "x"}\n\n"y"\n{"u": 1}\n')
+    with pytest.raises(errors.InvalidDocument, match="a.jsonl, line 4: no string in the field 't'"):
+        readers.read_jsonl(spark, path, "t")
+
+
+def test_retrieval_files_end_to_end(spark, tmp_path):
+    from quillrank.operators import evaluate
+    from quillrank.operators import index as ix
+    from quillrank.operators import search as se
+
+    corpus = readers.read_beir_corpus(spark, write(tmp_path, "corpus.jsonl", '{"_id": "d1", "title": "Foxes", "text": "red fox"}\n{"_id": "d2", "text": "lazy dog"}\n'))
+    queries = readers.read_beir_queries(spark, write(tmp_path, "queries.jsonl", '{"_id": "q1", "text": "fox"}\n{"_id": "q2", "text": "cat"}\n'))
+    qrels = readers.read_qrels(spark, write(tmp_path, "q.tsv", "query-id\tcorpus-id\tscore\nq1\td1\t1\nq2\td2\t1\n"))
+    index = ix.build(corpus)
+    found = index.named(se.search_batch(index, queries, 10))
+    assert {r["query_id"]: r["ndcg"] for r in evaluate.ndcg(found, qrels).collect()} == {"q1": 1.0, "q2": 0.0}
+
+
+def test_reports():
+    from quillrank.output import Measured, Report
+
+    report = Report("2020-01-01", "here", [Measured("small", 10, 4, 1.0, 2.0, [0.1, 0.3, 0.2], 0.5)])
+    assert Report.from_json(report.to_json()) == report and "small" in str(report) and report.corpora[0].latency(50) == 200 and report.corpora[0].queries_per_second == 2
+    with pytest.raises(errors.SerializationError):
+        Report.from_json("{}")
+
+
+def test_options_and_agents(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    source, target = write(tmp_path, "docs.txt", "The running foxes\nA lazy dog\n"), str(tmp_path / "out")
+    assert main(["index", source, target, "--language", "en", "--bounds"]) == 0
+    assert "KB" in capsys.readouterr().out
+    assert main(["search", target, "fox", "--approximate", "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["results"][0]["doc_id"] == 0
+    assert Retriever.load(spark, target).tokenizer.stemmer == "english"
+    stops = write(tmp_path, "stops.txt", "lazy the")
+    assert main(["index", source, target, "--stopwords", stops, "--stemmer", "none", "--keep-case"]) == 0
+    kept = Retriever.load(spark, target)
+    assert kept.tokenizer.stopwords == ("lazy", "the") and not kept.tokenizer.lowercase and kept.search("The")[0] == [0]
+    assert main(["search", target, "fox", "--approximate"]) == 1
+    service = Service(kept)
+    assert service.handle("POST", "/search", '{"query": "dog", "approximate": true}')[0] == 501
+    lines = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "dog"}}}, {"method": "notifications/initialized"}, {"id": 4, "method": "none"}]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(map(json.dumps, lines)) + "\nnot json\n"))
+    assert main(["mcp", target]) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["id"] for x in out] == [1, 2, 3, 4, None] and json.loads(out[2]["result"]["content"][0]["text"])["count"] == 1 and "error" in out[3]
