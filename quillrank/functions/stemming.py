@@ -1,10 +1,13 @@
-"""Snowball stemmers written from their published descriptions: English (Porter 2), German, Swedish, Norwegian and Danish."""
+"""Snowball stemmers written from their published descriptions: English (Porter 2), German, Swedish, Norwegian and Danish; and the table of all 17."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+from .stems_other import arabic, dutch, finnish, hungarian, russian, tamil, turkish
+from .stems_romance import french, italian, portuguese, romanian, spanish
+
 _V = "aeiouy"
 _EXCEPTIONS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
@@ -250,4 +253,8 @@ def danish(word: str) -> str:
     return w
 
 
-STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish}
+STEMMERS: dict[str, Callable[[str], str]] = {
+    "english": english, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish,
+    "french": french, "spanish": spanish, "italian": italian, "portuguese": portuguese, "romanian": romanian,
+    "dutch": dutch, "russian": russian, "finnish": finnish, "hungarian": hungarian, "arabic": arabic, "turkish": turkish, "tamil": tamil,
+}

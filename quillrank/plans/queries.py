@@ -20,7 +20,7 @@ from ..operators import index as ix
 from ..operators import search as se
 from ..storage import materialise
 from ..streaming.updates import UpdateLog
-from . import sql
+from . import sql, stems
 
 K = 10
 N_SHARDS = 4
@@ -156,6 +156,7 @@ def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOPS = tuple(for_language("en"))
+_CODES = ("de", "en", "es", "fr")
 
 
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +179,25 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.document_frequencies(ix.flat_counts(ix.token_counts(_table(spark, sf_dir, "documents"), Tokenizer(stemmer="english"))))
 
 
+def stem_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of listed words in 13 languages by the tokenizer, against the published ones."""
+    words = spark.createDataFrame([r[:2] for r in stems.rows()], "lang string, word string")
+    out = None
+    for lang in stems.PAIRS:
+        part = words.filter(F.col("lang") == lang).select("lang", "word", F.element_at(Tokenizer(stemmer=lang).tokens(F.col("word")), 1).alias("stem"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each document its language's stop list leaves."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    n = F.lit(None).cast("long")
+    for code in _CODES:
+        n = F.when(F.col("lang") == code, F.size(Tokenizer(stopwords=tuple(for_language(code))).tokens(F.col("text"))).cast("long")).otherwise(n)
+    return docs.select("doc_id", n.alias("n"))
+
+
 def nnz_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings by term whose Robertson score is above, and below 0; those of 0 aren't held."""
     p = corpus_index(spark, sf_dir).with_params(Params("robertson")).postings
@@ -328,7 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_build": index_build, "tokenize_count": tokenize_count, "token_lengths": token_lengths, "vocab_size": vocab_size, "vocab_first_seen": vocab_first_seen, "term_freq": term_freq, "doc_freq": doc_freq, "corpus_stats": corpus_stats,
     **{f"idf_{m}": _idf(m) for m in METHODS}, **{f"tfc_{m}": _weight(m) for m in METHODS}, **{f"score_{m}": _score(m) for m in METHODS},
     "search_single_top10": search_single_top10, "search_tokens": search_tokens, "batch_top5": batch_top5, "single_precision_top10": single_precision_top10, "dense_scores": dense_scores, "duplicate_query_terms": duplicate_query_terms, "unknown_terms": unknown_terms,
-    "stopword_filter": stopword_filter, "custom_pattern": _pattern("[a-z]{4,}"), "upper_pattern": _pattern("[A-Z]+[a-z]?"), "stemmed_vocabulary": stemmed_vocabulary, "nnz_by_term": nnz_by_term, "index_check": index_check, "merged_triplets": merged_triplets,
+    "stopword_filter": stopword_filter, "custom_pattern": _pattern("[a-z]{4,}"), "upper_pattern": _pattern("[A-Z]+[a-z]?"), "stemmed_vocabulary": stemmed_vocabulary, "stem_pairs": stem_pairs, "language_tokens": language_tokens, "nnz_by_term": nnz_by_term, "index_check": index_check, "merged_triplets": merged_triplets,
     "block_max": block_max, "term_max": term_max, "pruned_top10": pruned_top10,
     "wal_fast": _updated("fast"), "wal_exact": _updated("exact"), "wal_rebuild": _updated("rebuild"), "tombstone_mask": tombstone_mask, "delete_report": delete_report, "compact_renumber": compact_renumber, "compact_search": compact_search,
     "shard_df": shard_df, "global_idf": global_idf, "shard_merge_topk": shard_merge_topk, "zscore": zscore, "dcg": dcg, "ndcg_at_10": ndcg_at_10, "mean_ndcg": mean_ndcg, "recall_at_k": recall_at_k,
@@ -403,6 +423,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
     "unknown_terms": f"WITH {sql.DOCS}, {sql.COUNTS}, {sql.QUERIES} SELECT query_id, count(DISTINCT term) AS n_unknown FROM q WHERE term NOT IN (SELECT term FROM df) GROUP BY query_id",
     "stopword_filter": f"SELECT doc_id, len(list_filter({sql.tokens('text')}, lambda x: NOT list_contains({list(_STOPS)}, x)))::BIGINT AS n FROM documents",
     **{name: f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(list_transform(t, lambda x: lower(x)), ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS t FROM documents)" for name, p in (("custom_pattern", "[a-z]{4,}"), ("upper_pattern", "[A-Z]+[a-z]?"))},
+    "stem_pairs": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in stems.rows()) + ") t(lang, word, stem)",
+    "language_tokens": f"SELECT doc_id, CASE lang {' '.join(f"WHEN '{c}' THEN len(list_filter({sql.tokens('text')}, lambda x: NOT list_contains({for_language(c)}, x)))::BIGINT" for c in _CODES)} END AS n FROM documents",
     "nnz_by_term": f"WITH {sql.postings('robertson')} SELECT term, count(*) FILTER (score > 0) AS above, count(*) FILTER (score < 0) AS below FROM post GROUP BY term",
     "index_check": "SELECT 0::BIGINT AS repeated_pairs, 0::BIGINT AS unknown_documents, 0::BIGINT AS nulls, 0::BIGINT AS not_finite, 0::BIGINT AS zero_scores, 0::BIGINT AS bad_counts, 0::BIGINT AS bad_frequencies",
     "merged_triplets": f"WITH {sql.postings()} SELECT term, doc_id, round((score::DOUBLE * 2)::FLOAT::DOUBLE, 4) AS score FROM post",

@@ -4,8 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillrank.plans import more
 from quillrank.plans import queries as core
 
+QUERIES, ORACLE_SQL = core.QUERIES | more.QUERIES, core.ORACLE_SQL | more.ORACLE_SQL
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -22,10 +25,10 @@ def tidy(v):
     return tuple(map(tidy, v)) if isinstance(v, (list, tuple)) else round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, con, name):
-    df = core.QUERIES[name](spark, SF)
-    found = con.execute(core.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    found = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(repr(tidy([r[c] for c in columns])) for r in df.collect()) == sorted(repr(tidy(r)) for r in found.fetchall())
