@@ -36,7 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the least id stays. Null and word-less texts and null ids belong to no group and
     stay, as do repeated rows of a document that stays; an empty table stays empty."""
-    gone = simhash.near_duplicates(docs).select("doc_id")
+    # a written table has a size, by which Spark broadcasts it or not
+    gone = cut(simhash.near_duplicates(docs).select("doc_id"), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
