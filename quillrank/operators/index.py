@@ -43,7 +43,7 @@ class Index:
     tokenizer: Tokenizer
     #: (doc_id, name) where documents were named by strings.
     ids: DataFrame | None = None
-    #: (term, bucket, range_max) for ranges of ``width`` documents.
+    #: (term, bucket, range_max, range_min) for ranges of ``width`` documents.
     maxima: DataFrame | None = None
     width: int = 0
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..config import check_k
 from ..functions import scoring
 from ..functions.text import Tokenizer
+from ..storage import materialise
 from .index import Index
 
-#: The terms of a batch go to the scan as literals up to so many, so only their postings are shuffled; larger batches are joined.
-TERM_LIMIT = 20_000
+#: So few terms go to the scan as literals, which reach the row groups. More are a written table, whose size tells Spark whether to broadcast it.
+TERM_LIMIT = 64
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -25,16 +26,18 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return found.groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
 
 
-def batch_terms(terms: DataFrame, most: int | None = None) -> list[str] | None:
-    """The distinct terms of a batch, None if there are more than ``most`` (default: ``TERM_LIMIT``)."""
-    most = TERM_LIMIT if most is None else most
-    found = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
-    return found if len(found) <= most else None
+def batch_terms(terms: DataFrame) -> list[str] | DataFrame:
+    """The distinct terms of a batch: a list of up to ``TERM_LIMIT``, or a written table (term)."""
+    distinct = terms.select("term").distinct()
+    found = [r[0] for r in distinct.limit(TERM_LIMIT + 1).collect()]
+    return found if len(found) <= TERM_LIMIT else materialise(distinct, "terms")
 
 
-def restricted(rows: DataFrame, terms: list[str] | None) -> DataFrame:
-    """``rows`` of these terms; all of them for None, where a join has to do."""
-    return rows if terms is None else rows.filter(F.col("term").isin(terms))
+def restricted(rows: DataFrame, terms: list[str] | DataFrame | None) -> DataFrame:
+    """``rows`` of these terms; None for all."""
+    if terms is None:
+        return rows
+    return rows.filter(F.col("term").isin(terms)) if isinstance(terms, list) else rows.join(terms, "term", "left_semi")
 
 
 def document_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def document_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 def single_scores(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(query_id, doc_id, score): sums in single precision, rarest term first, terms of one frequency in the query's order."""
-    found = queries.select("query_id", F.posexplode(tokenizer.tokens(F.col("text"))).alias("pos", "term"))
+    found = materialise(queries.select("query_id", F.posexplode(tokenizer.tokens(F.col("text"))).alias("pos", "term")), "query-terms")
     met = postings.select("term", "doc_id", "df", "score").join(found, "term")
     return met.groupBy("query_id", "doc_id").agg(scoring.ordered_sum(F.collect_list(F.struct("df", "pos", "score"))).alias("score"))
 
@@ -61,9 +64,9 @@ def top_k(scores: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, k: int = 10, exact_single: bool = False, decimals: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of queries (query_id, text). A query without known terms has no rows."""
     check_k(k)
-    terms = query_terms(queries, index.tokenizer)
-    postings = restricted(index.postings, batch_terms(terms))
-    return top_k(single_scores(postings, queries, index.tokenizer) if exact_single else document_scores(postings, terms), k, decimals)
+    if exact_single:
+        return top_k(single_scores(index.postings, queries, index.tokenizer), k, decimals)
+    return top_k(document_scores(index.postings, materialise(query_terms(queries, index.tokenizer), "query-terms")), k, decimals)
 
 
 def search_tokens(index: Index, tokens: list[str], k: int = 10) -> DataFrame:
@@ -100,8 +103,7 @@ def search(index: Index, text: str, k: int = 10) -> DataFrame:
 def dense_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for every query and every document, 0 where they share no term."""
     every = queries.select("query_id").distinct().crossJoin(index.lengths.select("doc_id"))
-    terms = query_terms(queries, index.tokenizer)
-    found = document_scores(restricted(index.postings, batch_terms(terms)), terms)
+    found = document_scores(index.postings, materialise(query_terms(queries, index.tokenizer), "query-terms"))
     return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

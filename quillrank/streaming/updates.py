@@ -210,7 +210,7 @@ class UpdateLog:
         gone = self.deleted()
         return base.unionByName(new).join(gone, "doc_id", "left_anti"), lengths.join(gone, "doc_id", "left_anti")
 
-    def live_postings(self, strategy: str = "fast", terms: list[str] | None = None) -> DataFrame:
+    def live_postings(self, strategy: str = "fast", terms: list[str] | DataFrame | None = None) -> DataFrame:
         """(term, doc_id, tf, doc_len, df, score) of the live documents, of some terms only if these are named."""
         if strategy not in STRATEGIES:
             raise InvalidParameter(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
@@ -228,7 +228,7 @@ class UpdateLog:
     def search(self, queries: DataFrame, k: int = 10, strategy: str = "fast", decimals: int | None = None) -> DataFrame:
         """(query_id, rank, doc_id, score) of queries (query_id, text) over the live documents. Only postings of their terms are scored."""
         check_k(k)
-        terms = query_terms(queries, self.index.tokenizer)
+        terms = materialise(query_terms(queries, self.index.tokenizer), "query-terms")
         return top_k(document_scores(self.live_postings(strategy, batch_terms(terms)), terms), k, decimals)
 
     def compact(self, partitions: int | None = None) -> tuple[Index, DataFrame]:
