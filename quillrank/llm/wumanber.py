@@ -30,7 +30,7 @@ from ._shared import fresh, table
 
 N_WORDS = 13
 MIN_WORDS = 3
-PASS_WINDOWS = 4 << 20
+PASS_WINDOWS = 1 << 20
 _BLOCK = 8
 _LANE = 1024
 _SLICE = 2 << 20

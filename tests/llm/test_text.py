@@ -140,7 +140,7 @@ def contamination_brute(docs, items, n, least=wumanber.MIN_WORDS):
     return out
 
 
-@pytest.mark.parametrize(("n", "least", "parts"), [(13, 3, 4 << 20), (13, 1, 4 << 20), (3, 1, 4 << 20), (1, 1, 4 << 20), (3, 3, 30)])
+@pytest.mark.parametrize(("n", "least", "parts"), [(13, 3, 4 << 20), (13, 1, 4 << 20), (3, 1, 1 << 20), (1, 1, 4 << 20), (3, 3, 30)])
 def test_contamination_is_brute_force(spark, monkeypatch, n, least, parts):
     monkeypatch.setattr(wumanber, "PASS_WINDOWS", parts)
     rnd = random.Random(9)
