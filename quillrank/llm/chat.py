@@ -63,8 +63,6 @@ def _encoding(ranks_file: str):
     return _encodings[ranks_file]
 
 
-
-
 def assemble(enc, roles: list[str], texts: list[str], begins: np.ndarray, learned: str = LEARNED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, mask, offsets of the conversations in them) of turns; conversation i has turns begins[i]:begins[i + 1]."""
     start, end = enc.encode_single_token(START), enc.encode_single_token(END)
@@ -123,4 +121,5 @@ def format_chats(conversations: DataFrame, ranks_file: str | None = None, learne
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of ``conversations`` as ids and mask; see ``format_chats`` for nulls, empty and long texts, ties and repeated rows."""
     return format_chats(table(spark, sf_dir, "conversations"))

@@ -30,7 +30,8 @@ def drop_common_lines(docs: DataFrame, max_docs: int = MAX_DOCS, keep_first: boo
     ``dropped``: name of a column to add, with the number of lines dropped from the row.
     A null text stays null (0 dropped), an empty one empty. Blank lines are never counted or dropped, and a line
     repeated within a document counts once. Rows that share a doc_id are one document; rows with a null doc_id
-    don't count as documents, but their common lines are dropped. A document may end up with an empty text.
+    don't count as documents, but their common lines are dropped. A document may end up with an empty text. Very long texts
+    count whole, and an empty table stays empty.
     """
     lines = F.split("text", "\n", -1)
     held = docs.select(F.col("doc_id").alias("d"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("h")).filter("h IS NOT NULL")
@@ -52,6 +53,7 @@ def drop_common_lines(docs: DataFrame, max_docs: int = MAX_DOCS, keep_first: boo
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` without its common lines, and how many these were; see ``drop_common_lines`` for nulls, empty and long texts and repeated rows."""
     return drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="n_dropped")
 
 

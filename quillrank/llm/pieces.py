@@ -405,4 +405,5 @@ def decode(df: DataFrame, model_file: str | None = None, ids: str = "ids", text:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every row of ``documents``, their number, and whether they decode to the text; see ``encode`` for nulls, empty and long texts and repeated rows."""
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
