@@ -29,7 +29,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from ._bytes import mix64, run_hashes, slices, spread, text_buffers
 from ._shared import fresh, table
 
-_SLICE = 4 << 20
+#: Bytes encoded at once: the arrays of a slice take about 50 bytes for each of them in every worker.
+_SLICE = 1 << 20
 #: Units that a worker remembers; when there are more it forgets all and begins anew.
 _REMEMBER = 400_000
 SPACE = "▁"
