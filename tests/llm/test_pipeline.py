@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillrank.llm import langid, linededup, pieces, queries, wrappers, wumanber
-from test_dedup import lines_brute, simhash_brute
+from test_dedup import lines_brute, links_brute, simhash_brute
 from test_text import card, contamination_brute, phrases_brute
 
 SF = "/root/testdata/sf0.001"
@@ -126,8 +126,11 @@ def test_op2_is_the_library(spark):
 
 def test_op3_is_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["duplicate_of"] for r in queries.QUERIES["op3_simhash"](spark, SF).collect()}
-    assert got == simhash_brute(texts)
+    rows = queries.QUERIES["op3_simhash"](spark, SF).collect()
+    root, links = simhash_brute(texts), links_brute(texts)
+    assert len(rows) == len({r["doc_id"] for r in rows})
+    assert {r["doc_id"]: r["class_id"] for r in rows} == root | {i: i for i in root.values()}
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {r["doc_id"]: links[r["doc_id"]] for r in rows}
 
 
 def test_op8_gives_every_page(spark):
