@@ -53,8 +53,13 @@ def format_bytes(n: int) -> str:
 
 
 def bytes_label(n: Column) -> Column:
-    """``format_bytes`` of a column."""
-    out = F.format_string("%d B", n.cast("long"))
+    """``format_bytes`` of a column; null for null.
+
+    Java's ``%.2f`` rounds halves up, C's and Python's to even, so hundredths are rounded here. The rest has 30 bits at most, a hundredfold of it is exact.
+    """
+    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for unit, size in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30)):
-        out = F.when(n >= size, F.format_string(f"%.2f {unit}", n.cast("double") / size)).otherwise(out)
+        value = n.cast("double") / size
+        rest = value % 1
+        out = F.when(n >= size, F.format_string(f"%.2f {unit}", value - rest + F.rint(rest * 100) / 100)).otherwise(out)
     return out

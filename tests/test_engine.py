@@ -231,6 +231,16 @@ def test_maths(spark):
     assert maths.format_bytes(1536) == "1.50 KB" and maths.format_bytes(12) == "12 B"
 
 
+def test_bytes_labels_round_halves_to_even(spark):
+    labels = {
+        None: None, 0: "0 B", 1023: "1023 B", 1152: "1.12 KB", 1151: "1.12 KB", 1153: "1.13 KB", 1408: "1.38 KB", 272000: "265.62 KB", (1 << 20) - 1: "1024.00 KB", 9 << 17: "1.12 MB", 11 << 17: "1.38 MB",
+        9 << 27: "1.12 GB", (9 << 27) + 1: "1.13 GB", 4503599632739205: "4194304.00 GB", (1 << 63) - 1: "8589934592.00 GB",
+    }
+    rows = spark.createDataFrame([(n,) for n in labels], "n long").select("n", maths.bytes_label(F.col("n")).alias("label")).collect()
+    assert {r["n"]: r["label"] for r in rows} == labels
+    assert all(maths.format_bytes(n) == label for n, label in labels.items() if n is not None)
+
+
 def test_updates(spark, index):
     log = UpdateLog(index)
     assert log.is_empty() and not log.should_compact()

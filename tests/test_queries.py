@@ -34,6 +34,15 @@ def test_query_matches_sql(spark, con, name):
     assert sorted(repr(tidy([r[c] for c in columns])) for r in df.collect()) == sorted(repr(tidy(r)) for r in found.fetchall())
 
 
+def test_byte_labels_of_halves_and_nulls(spark, tmp_path):
+    """Sizes that lie half-way between two labels, which the table at ``SF`` doesn't have."""
+    spark.createDataFrame([(n,) for n in (None, 0, 1, 16, 1024, 1152, 1408, 272, 720, 9 << 27)], "n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["byte_labels"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr((r["n"], r["label"])) for r in QUERIES["byte_labels"](spark, str(tmp_path)).collect())
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "rank", "doc_id", "score"]
