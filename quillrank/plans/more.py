@@ -51,7 +51,9 @@ def read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _csv(sep: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = core._table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-        return _hashed(readers.read_csv(spark, _written(docs, "csv", "csv", header=True, sep=sep, quote='"', escape='"', quoteAll=True), "text", sep))
+        # Spark's writer takes white space off the ends of values if it isn't told to keep it
+        path = _written(docs, "csv", "csv", header=True, sep=sep, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=readers.NO_VALUE)
+        return _hashed(readers.read_csv(spark, path, "text", sep))
 
     return run
 

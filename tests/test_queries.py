@@ -43,6 +43,16 @@ def test_byte_labels_of_halves_and_nulls(spark, tmp_path):
     assert sorted(map(repr, want)) == sorted(repr((r["n"], r["label"])) for r in QUERIES["byte_labels"](spark, str(tmp_path)).collect())
 
 
+@pytest.mark.parametrize("name", ["read_csv", "read_tsv"])
+def test_separated_values_keep_every_text(spark, tmp_path, name):
+    """White space and control characters at the ends, lone quotes and empty texts, which the table at ``SF`` doesn't have."""
+    odd = ["", " ", " a", "a ", "\ta\t", "\n", "a\n", "\r\na", '"', '"\n', "\x01", "\\", "a,\tb", "a", "a"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(odd)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(ORACLE_SQL[name]).fetchall()) == sorted((r["h"], r["n"]) for r in QUERIES[name](spark, str(tmp_path)).collect())
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "rank", "doc_id", "score"]
