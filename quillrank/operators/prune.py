@@ -87,7 +87,7 @@ def search_pruned(index: Index, queries: DataFrame, k: int = 10, width: int = RA
     spared, every = split.agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("df"))), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
     if spared * 2 < every:
         # bounds spare less than half of the postings: looking up the rest would cost more
-        return top_k(document_scores(index.postings, terms), k, decimals)
+        return top_k(document_scores(index.postings, terms, index.stats.n_docs), k, decimals)
     common = split.filter("common").select("query_id", "term", "qtf")
     rest = ranges.join(common, "term").groupBy("query_id", "bucket").agg(F.sum(F.col("range_max").cast("double") * F.col("qtf")).alias("rest"))
     # a range without any common word has no row in ``rest``

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..config import check_k
 from ..functions import scoring
 from ..functions.text import Tokenizer
-from ..storage import materialise
+from ..storage import SENT_ROWS, materialise, sent
 from .index import Index
 
 #: So few terms go to the scan as literals, which reach the row groups. More are a written table, whose size tells Spark whether to broadcast it.
 TERM_LIMIT = 64
+#: Pairs of a query and a document that a task may hold, and the most tasks.
+PAIRS, MOST_PARTS = 1_000_000, 4_000
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -40,17 +42,42 @@ def restricted(rows: DataFrame, terms: list[str] | DataFrame | None) -> DataFram
     return rows.filter(F.col("term").isin(terms)) if isinstance(terms, list) else rows.join(terms, "term", "left_semi")
 
 
-def document_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): double sums over the query's tokens. Unknown terms fall out of the join; repeated ones count again."""
-    met = postings.select("term", "doc_id", "score").join(terms.select("query_id", "term", "qtf"), "term")
+def by_document(postings: DataFrame, terms: DataFrame, docs: int, on: str | list[str] = "term") -> DataFrame:
+    """``postings`` joined with a batch's ``terms`` (query_id, term, ...) such that those of a document are in one task: each is shuffled once, however many
+    queries ask for it, and what is computed by query and document needs no shuffle of its own. A batch too large to send is joined as Spark sees fit."""
+    n, queries = terms.agg(F.count("*"), F.countDistinct("query_id")).first()
+    if n > SENT_ROWS:
+        return postings.join(terms, on)
+    pairs = docs * queries
+    parts = max(1, -(-pairs // PAIRS), min(terms.sparkSession.sparkContext.defaultParallelism, -(-pairs * 20 // PAIRS)))
+    return postings.join(F.broadcast(terms.select(on).distinct()), on, "left_semi").repartition(min(parts, MOST_PARTS), "doc_id").join(F.broadcast(terms), on)
+
+
+def document_scores(postings: DataFrame, terms: DataFrame, docs: int) -> DataFrame:
+    """(query_id, doc_id, score): double sums over the query's tokens. Unknown terms fall out of the join; repeated ones count again. ``docs``: about how
+    many documents there are."""
+    met = by_document(postings.select("term", "doc_id", "score"), terms.select("query_id", "term", "qtf"), docs)
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("score").cast("double") * F.col("qtf")).alias("score"))
 
 
-def single_scores(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(query_id, doc_id, score): sums in single precision, rarest term first, terms of one frequency in the query's order."""
-    found = materialise(queries.select("query_id", F.posexplode(tokenizer.tokens(F.col("text"))).alias("pos", "term")), "query-terms")
-    met = postings.select("term", "doc_id", "df", "score").join(found, "term")
-    return met.groupBy("query_id", "doc_id").agg(scoring.ordered_sum(F.collect_list(F.struct("df", "pos", "score"))).alias("score"))
+def single_scores(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): sums in single precision, rarest term first, terms of one frequency in the query's order; of the documents that may be
+    among a query's ``k`` best.
+
+    A single-precision sum of n numbers is within n ulps of their absolute sum from the double one, so documents that can't reach the k-th best are left
+    out before the numbers of the others are put in order.
+    """
+    found = materialise(queries.select("query_id", F.posexplode(index.tokenizer.tokens(F.col("text"))).alias("pos", "term")), "query-terms")
+    terms = found.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    met = by_document(index.postings.select("term", "doc_id", F.col("score").cast("double").alias("s")), terms, index.stats.n_docs)
+    sums = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("s") * F.col("qtf")).alias("score"), (F.sum(F.abs("s") * F.col("qtf")) * F.sum("qtf") * 2.0**-23).alias("off"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    lows = sums.select("query_id", (F.col("score") - F.col("off")).alias("low")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    least = materialise(lows.filter(F.col("r") == k).select("query_id", F.col("low").alias("least")), "query-least")
+    near = sums.join(sent(least, least.count()), "query_id", "left").filter("least IS NULL OR score + off >= least").select("query_id", "doc_id")
+    wanted = materialise(near.join(found, "query_id"), "lookups")
+    again = index.postings.select("term", "doc_id", "df", "score").join(sent(wanted, wanted.count()), ["term", "doc_id"])
+    return again.groupBy("query_id", "doc_id").agg(scoring.ordered_sum(F.collect_list(F.struct("df", "pos", "score"))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
@@ -65,8 +92,8 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, exact_single: bo
     """(query_id, rank, doc_id, score) of queries (query_id, text). A query without known terms has no rows."""
     check_k(k)
     if exact_single:
-        return top_k(single_scores(index.postings, queries, index.tokenizer), k, decimals)
-    return top_k(document_scores(index.postings, materialise(query_terms(queries, index.tokenizer), "query-terms")), k, decimals)
+        return top_k(single_scores(index, queries, k), k, decimals)
+    return top_k(document_scores(index.postings, materialise(query_terms(queries, index.tokenizer), "query-terms"), index.stats.n_docs), k, decimals)
 
 
 def search_tokens(index: Index, tokens: list[str], k: int = 10) -> DataFrame:
@@ -102,9 +129,14 @@ def search(index: Index, text: str, k: int = 10) -> DataFrame:
 
 def dense_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for every query and every document, 0 where they share no term."""
-    every = queries.select("query_id").distinct().crossJoin(index.lengths.select("doc_id"))
-    found = document_scores(index.postings, materialise(query_terms(queries, index.tokenizer), "query-terms"))
-    return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    # every document bears a posting of 0 that all queries ask for
+    ids = queries.select("query_id").distinct()
+    asked = query_terms(queries, index.tokenizer).select("query_id", "term", "qtf", F.lit(False).alias("every"))
+    asked = materialise(asked.unionByName(ids.select("query_id", F.lit("").alias("term"), F.lit(1).cast("long").alias("qtf"), F.lit(True).alias("every"))), "query-terms")
+    rows = index.postings.select("term", "doc_id", "score", F.lit(False).alias("every"))
+    rows = rows.unionByName(index.lengths.select(F.lit("").alias("term"), "doc_id", F.lit(0).cast("float").alias("score"), F.lit(True).alias("every")))
+    met = by_document(rows, asked, index.stats.n_docs, ["every", "term"])
+    return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("score").cast("double") * F.col("qtf")).alias("score"))
 
 
 def postings_of(index: Index, term: str) -> DataFrame:

@@ -99,7 +99,7 @@ class Shard:
         postings = restricted(self.index.postings, wanted)
         if self._whole is not None:
             postings = scored(postings.drop("df", "score").join(restricted(self._whole[0], wanted), "term"), self.index.params, self._whole[1])
-        return top_k(document_scores(postings, terms), k).select("query_id", (F.col("doc_id") + self.offset).alias("doc_id"), "score")
+        return top_k(document_scores(postings, terms, self.index.stats.n_docs), k).select("query_id", (F.col("doc_id") + self.offset).alias("doc_id"), "score")
 
 
 class Coordinator:

@@ -285,7 +285,7 @@ def shard_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = corpus_index(spark, sf_dir)
-    scores = se.document_scores(index.postings, se.query_terms(query_set(spark, sf_dir), index.tokenizer))
+    scores = se.document_scores(index.postings, se.query_terms(query_set(spark, sf_dir), index.tokenizer), index.stats.n_docs)
     return maths.zscores(scores, "score", "query_id").select("query_id", "doc_id", F.round("z", 4).alias("z"))
 
 

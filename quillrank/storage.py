@@ -8,9 +8,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import InvalidParameter
 
+#: Rows of a few numbers or words: some 30 MB in a hash table.
+SENT_ROWS = 500_000
 _fallback: list[str] = []
 
 
@@ -38,6 +41,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its ``rows`` are at most ``SENT_ROWS``: Spark doesn't know how small a result will be, and would shuffle what it meets."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialise`` wrote, once nothing will be computed from it any more."""
     spark = df.sparkSession

@@ -229,7 +229,7 @@ class UpdateLog:
         """(query_id, rank, doc_id, score) of queries (query_id, text) over the live documents. Only postings of their terms are scored."""
         check_k(k)
         terms = materialise(query_terms(queries, self.index.tokenizer), "query-terms")
-        return top_k(document_scores(self.live_postings(strategy, batch_terms(terms)), terms), k, decimals)
+        return top_k(document_scores(self.live_postings(strategy, batch_terms(terms)), terms, self.index.stats.n_docs), k, decimals)
 
     def compact(self, partitions: int | None = None) -> tuple[Index, DataFrame]:
         """A new index of the live documents, and (old_id, doc_id). New ids count from 0 in the order of the old; scores are those of an index built now.

@@ -4,6 +4,7 @@ import pytest
 
 from quillrank.functions.text import Tokenizer
 from quillrank.operators import index as ix
+from quillrank.operators import search as se
 
 TEXTS = ["the red fox runs over the hill", "a lazy dog sleeps under the hill", "red red red wine in the glass", "", "a cat sat by the mill with a dog", "wine and bread and wine", None, "the fox"]
 QUERIES = ["red fox", "the hill", "wine wine bread", "nothing known here", "", "the dog the cat"]
@@ -41,3 +42,23 @@ def test_counting_shuffles_nothing_and_postings_once(spark, monkeypatch):
 def test_counts_of_given_tokens(spark):
     given = spark.createDataFrame([(0, ["b", "a", None, "b"]), (1, []), (2, None), (3, [None]), (4, ["", "a"])], "doc_id long, w array<string>")
     assert sorted(map(tuple, ix.token_counts(given, Tokenizer(), "w").collect()), key=repr) == sorted([(0, 4, "a", 1), (0, 4, "b", 2), (1, 0, None, 0), (2, 0, None, 0), (3, 1, None, 0), (4, 2, "", 1), (4, 2, "a", 1)], key=repr)
+
+
+def test_scores_are_summed_where_the_documents_are(spark, index):
+    terms = se.query_terms(asked(spark), index.tokenizer)
+    found = plan(se.document_scores(index.postings, terms, 1000)).split("BroadcastExchange")[0]
+    assert "hashpartitioning(query_id" not in found and ("hashpartitioning(doc_id" in found or "REPARTITION_BY_NUM" in found)
+    # a batch too large to send gives the same rows
+    every = {(r["query_id"], r["doc_id"]): r["score"] for r in se.dense_scores(index, asked(spark)).collect()}
+    held, se.SENT_ROWS = se.SENT_ROWS, 0
+    try:
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in se.dense_scores(index, asked(spark)).collect()} == pytest.approx(every)
+    finally:
+        se.SENT_ROWS = held
+
+
+def test_single_precision_puts_only_near_documents_in_order(spark, index):
+    near = {(r["query_id"], r["doc_id"]) for r in se.single_scores(index, asked(spark), 1).collect()}
+    every = {(r["query_id"], r["doc_id"]) for r in se.document_scores(index.postings, se.query_terms(asked(spark), index.tokenizer), 10).collect()}
+    best = {(r["query_id"], r["doc_id"]) for r in se.search_batch(index, asked(spark), 1, exact_single=True).collect()}
+    assert best <= near < every
