@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, sent
 
 
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
@@ -28,3 +28,14 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     offsets = ranged.groupBy("part_").agg(F.sum(value).alias("own_")).select("part_", F.coalesce(F.sum("own_").over(before), F.lit(0)).alias("before_"))
     own = F.sum(value).over(Window.partitionBy("part_").orderBy(order))
     return ranged.withColumn(name, own).join(offsets, "part_").withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")
+
+
+def ranks(df: DataFrame, name: str) -> tuple[DataFrame, Column, Column]:
+    """The places of distinct whole numbers among all of them, as a table of one row for 64 (rank_bucket, rank_bits, rank_before), to be joined with
+    ``shiftright(name, 6)``; then the place of a number, from 0, and whether the number is there."""
+    bit = F.expr(f"shiftleft(1L, CAST({name} & 63 AS INT))")
+    held = df.select(F.shiftright(name, 6).alias("rank_bucket"), bit.alias("bit")).groupBy("rank_bucket").agg(F.bit_or("bit").alias("rank_bits"), F.count("*").alias("n"))
+    held = running_total(held, "rank_bucket", "n", "upto").select("rank_bucket", "rank_bits", (F.col("upto") - F.col("n")).alias("rank_before"))
+    held = materialise(held, "ranks")
+    lower = F.expr(f"bit_count(rank_bits & ~shiftleft(-1L, CAST({name} & 63 AS INT)))")
+    return sent(held, held.count()), (F.col("rank_before") + lower).cast("long"), bit.bitwiseAND(F.col("rank_bits")) != 0

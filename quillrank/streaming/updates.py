@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from ..config import check_k
 from ..errors import EmptyCorpus, InvalidParameter, LogState
 from ..functions import scoring
-from ..operators.index import Index, Stats, corpus_stats, flat_counts, lengths_of, scored, token_counts
-from ..operators.numbering import numbered
+from ..operators.index import Index, Stats, corpus_stats, document_frequencies, flat_counts, laid_out, lengths_of, scored, token_counts
+from ..operators.numbering import numbered, ranks
 from ..operators.search import batch_terms, document_scores, query_terms, restricted, top_k
-from ..storage import materialise, new_path
+from ..storage import materialise, new_path, sent
 
 SCHEMA = "seq long, generation long, op string, doc_id long, content string, stream string, batch long"
 STRATEGIES = ("fast", "exact", "rebuild")
@@ -207,9 +207,14 @@ class UpdateLog:
         new = flat_counts(fresh).withColumn("added", F.lit(True))
         base = self.index.postings.select("term", "doc_id", "tf", "doc_len").withColumn("added", F.lit(False))
         lengths = self.index.lengths.unionByName(lengths_of(fresh))
-        gone = self.deleted()
+        gone = materialise(self.deleted(), "gone")
+        gone = sent(gone, gone.count())
         return base.unionByName(new).join(gone, "doc_id", "left_anti"), lengths.join(gone, "doc_id", "left_anti")
 
+    def _known(self, frequencies: DataFrame, terms: list[str] | DataFrame | None) -> DataFrame:
+        """(term, df) of some terms, written, so that Spark knows how few they are; as it is for all terms."""
+        return frequencies if terms is None else materialise(restricted(frequencies, terms), "frequencies")
+
     def live_postings(self, strategy: str = "fast", terms: list[str] | DataFrame | None = None) -> DataFrame:
         """(term, doc_id, tf, doc_len, df, score) of the live documents, of some terms only if these are named."""
         if strategy not in STRATEGIES:
@@ -217,9 +222,9 @@ class UpdateLog:
         rows = restricted(self._live_counts()[0], terms)
         base = self.index.stats
         if strategy == "fast":
-            known = rows.join(restricted(self.index.terms, terms), "term", "left").withColumn("df", F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
+            known = rows.join(self._known(self.index.terms, terms), "term", "left").withColumn("df", F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
             return scored(known.drop("added"), self.index.params, base)
-        live = rows.groupBy("term").agg(F.count("*").alias("df"))
+        live = self._known(document_frequencies(rows), terms)
         stats = self._stats()
         if strategy == "exact":
             stats = replace(stats, mean_length=base.mean_length)
@@ -236,17 +241,16 @@ class UpdateLog:
 
         The log is left behind with the old index; ``UpdateLog`` of the new one begins empty.
         """
-        rows, lengths = self._live_counts()
-        ids = numbered(lengths.withColumnRenamed("doc_id", "old_id"), ["old_id"], "new_id")
-        ids = materialise(ids, "compacted")
+        lengths = self._live_counts()[1]
+        held, place, lives = ranks(lengths, "doc_id")
+        ids = materialise(lengths.withColumn("rank_bucket", F.shiftright("doc_id", 6)).join(held, "rank_bucket").select(F.col("doc_id").alias("old_id"), place.alias("new_id"), "doc_len"), "compacted")
         stats = Stats(*corpus_stats(ids).first())
         if not stats.n_docs:
             raise EmptyCorpus("compaction would leave no document")
-        renamed = rows.drop("added").withColumnRenamed("doc_id", "old_id").join(ids.select("old_id", "new_id"), "old_id").select("term", F.col("new_id").alias("doc_id"), "tf", "doc_len")
-        renamed = materialise(renamed, "compacted-counts")
-        terms = materialise(renamed.groupBy("term").agg(F.count("*").alias("df")), "terms")
-        postings = scored(renamed.join(terms, "term").select("term", "doc_id", "tf", "doc_len", "df"), self.index.params, stats)
-        ranged = postings.repartitionByRange(partitions, "term", "doc_id") if partitions else postings.repartitionByRange("term", "doc_id")
-        postings = materialise(ranged.sortWithinPartitions("term", "doc_id"), "postings")
+        # postings of documents that aren't live have no rank, so the deleted ones needn't be taken away before
+        rows = self.index.postings.select("term", "doc_id", "tf", "doc_len").unionByName(flat_counts(self._added_counts()))
+        rows = rows.withColumn("rank_bucket", F.shiftright("doc_id", 6)).join(held, "rank_bucket").filter(lives).select("term", place.alias("doc_id"), "tf", "doc_len")
+        terms = materialise(document_frequencies(rows), "terms")
+        postings = laid_out(rows, terms, self.index.params, stats, partitions)
         index = Index(postings, ids.select(F.col("new_id").alias("doc_id"), "doc_len"), terms, stats, self.index.params, self.index.tokenizer)
         return index, ids.select("old_id", F.col("new_id").alias("doc_id"))

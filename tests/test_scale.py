@@ -1,10 +1,13 @@
 """What keeps queries within their limits on large tables: what is shuffled, and what is sent."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillrank.functions.text import Tokenizer
 from quillrank.operators import index as ix
 from quillrank.operators import search as se
+from quillrank.operators.numbering import ranks
+from quillrank.streaming.updates import UpdateLog
 
 TEXTS = ["the red fox runs over the hill", "a lazy dog sleeps under the hill", "red red red wine in the glass", "", "a cat sat by the mill with a dog", "wine and bread and wine", None, "the fox"]
 QUERIES = ["red fox", "the hill", "wine wine bread", "nothing known here", "", "the dog the cat"]
@@ -62,3 +65,20 @@ def test_single_precision_puts_only_near_documents_in_order(spark, index):
     every = {(r["query_id"], r["doc_id"]) for r in se.document_scores(index.postings, se.query_terms(asked(spark), index.tokenizer), 10).collect()}
     best = {(r["query_id"], r["doc_id"]) for r in se.search_batch(index, asked(spark), 1, exact_single=True).collect()}
     assert best <= near < every
+
+
+def test_live_postings_meet_written_frequencies(spark):
+    log = UpdateLog(ix.build(frame(spark, TEXTS)))
+    log.append_texts(["a zebra", "the fox"])
+    log.delete_documents([0])
+    terms = spark.createDataFrame([("fox",), ("zebra",), ("the",)], "term string")
+    for strategy in ("fast", "exact", "rebuild"):
+        # else Spark can't know how few they are, and shuffles all postings of a term to one task
+        assert "/frequencies-" in plan(log.live_postings(strategy, terms))
+
+
+def test_ranks(spark):
+    ids = [0, 5, 62, 63, 64, 127, 128, 1000, 10**12, 10**12 + 1]
+    held, place, there = ranks(spark.createDataFrame([(i,) for i in ids], "x long"), "x")
+    asked_for = spark.createDataFrame([(i,) for i in [*ids, 1, 65, 10**12 + 2]], "x long").withColumn("rank_bucket", F.shiftright("x", 6))
+    assert {r["x"]: r["p"] for r in asked_for.join(held, "rank_bucket").filter(there).select("x", place.alias("p")).collect()} == {x: i for i, x in enumerate(ids)}
