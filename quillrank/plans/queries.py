@@ -18,7 +18,7 @@ from ..functions.text import Tokenizer
 from ..operators import evaluate, prune, shards
 from ..operators import index as ix
 from ..operators import search as se
-from ..storage import materialise
+from ..storage import materialise, sent
 from ..streaming.updates import UpdateLog
 from . import sql, stems
 
@@ -294,15 +294,18 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> DataFrame:
         index, q = corpus_index(spark, sf_dir), query_set(spark, sf_dir)
-        terms = se.query_terms(q, index.tokenizer).join(index.terms, "term")
+        # small tables are written, so that Spark knows they are and sends them to the postings and texts instead of shuffling these
+        terms = materialise(se.query_terms(q, index.tokenizer), "query-terms").join(index.terms, "term")
         # a passage's first and last words may be cut off from longer ones; what stands between must be whole
         inner = q.select("query_id", Tokenizer().tokens(F.col("text")).alias("t")).select("query_id", F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))).alias("term")).distinct()
         rarest = terms.join(inner, ["query_id", "term"]).groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+        rarest = materialise(rarest, "rarest")
         pairs = index.postings.select("term", "doc_id").join(rarest, "term").select("query_id", "doc_id")
         # passages of one or two tokens have nothing between: they are looked for everywhere
         short = q.join(inner.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
         pairs = pairs.unionByName(short.crossJoin(index.lengths.select("doc_id")))
-        texts = pairs.join(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(q, "query_id")
+        pairs = materialise(pairs, "pairs")
+        texts = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")).join(sent(pairs, pairs.count()), "doc_id").join(q, "query_id")
         return materialise(texts.filter(F.contains("body", "text")).select("query_id", "doc_id", F.lit(1).alias("grade")), "qrels")
 
     return _once(spark, sf_dir, "qrels", make)
