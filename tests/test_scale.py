@@ -7,6 +7,7 @@ from quillrank.functions.text import Tokenizer
 from quillrank.operators import index as ix
 from quillrank.operators import search as se
 from quillrank.operators.numbering import ranks
+from quillrank.sources import store
 from quillrank.streaming.updates import UpdateLog
 
 TEXTS = ["the red fox runs over the hill", "a lazy dog sleeps under the hill", "red red red wine in the glass", "", "a cat sat by the mill with a dog", "wine and bread and wine", None, "the fox"]
@@ -82,3 +83,9 @@ def test_ranks(spark):
     held, place, there = ranks(spark.createDataFrame([(i,) for i in ids], "x long"), "x")
     asked_for = spark.createDataFrame([(i,) for i in [*ids, 1, 65, 10**12 + 2]], "x long").withColumn("rank_bucket", F.shiftright("x", 6))
     assert {r["x"]: r["p"] for r in asked_for.join(held, "rank_bucket").filter(there).select("x", place.alias("p")).collect()} == {x: i for i, x in enumerate(ids)}
+
+
+def test_fingerprint_is_the_sum_of_the_hashes(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 7919 % 101).alias("x"))
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64("id", "x").cast("decimal(38,0)"))).first()
+    assert store.fingerprint(df) == (n, str(total)) and store.fingerprint(df.limit(0)) == (0, "0")
